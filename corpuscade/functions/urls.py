@@ -1,4 +1,4 @@
-"""URL rules as Column expressions and DataFrame transforms.
+"""URL rules as Column expressions.
 
 Splitting follows RFC 3986 appendix B with one regex pass; resolution and
 normalisation match what the Python standard library does for http(s) URLs.
@@ -92,26 +92,40 @@ def sorted_query(query: Column) -> Column:
     return F.when(query == "", F.lit("")).otherwise(F.array_join(encoded, "&"))
 
 
+def _let(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` computed once, however often ``body`` mentions it.
+
+    Filters are pushed down by substitution, which would otherwise multiply the
+    regular expressions below each time a part of a URL is used.
+    """
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def assemble(
     scheme: Column, netloc: Column, path: Column, params: Column, query: Column, fragment: Column
 ) -> Column:
     """Join the parts of a URL again."""
-    tail = F.concat(path, F.when(params != "", F.concat(F.lit(";"), params)).otherwise(""))
-    rooted = F.when((tail != "") & ~tail.startswith("/"), F.concat(F.lit("/"), tail)).otherwise(tail)
-    located = (
-        F.when(netloc != "", F.concat(F.lit("//"), netloc, rooted))
-        .when(
-            tail.startswith("//")
-            | (scheme.isin(*_NETLOC_SCHEMES) & ((tail == "") | tail.startswith("/"))),
-            F.concat(F.lit("//"), tail),
+
+    def located(tail: Column) -> Column:
+        rooted = F.when((tail != "") & ~tail.startswith("/"), F.concat(F.lit("/"), tail)).otherwise(tail)
+        return (
+            F.when(netloc != "", F.concat(F.lit("//"), netloc, rooted))
+            .when(
+                tail.startswith("//")
+                | (scheme.isin(*_NETLOC_SCHEMES) & ((tail == "") | tail.startswith("/"))),
+                F.concat(F.lit("//"), tail),
+            )
+            .otherwise(tail)
         )
-        .otherwise(tail)
-    )
+
+    def marked(mark: str, value: Column) -> Column:
+        return _let(value, lambda v: F.when(v != "", F.concat(F.lit(mark), v)).otherwise(""))
+
     return F.concat(
         F.when(scheme != "", F.concat(scheme, F.lit(":"))).otherwise(""),
-        located,
-        F.when(query != "", F.concat(F.lit("?"), query)).otherwise(""),
-        F.when(fragment != "", F.concat(F.lit("#"), fragment)).otherwise(""),
+        _let(F.concat(path, marked(";", params)), located),
+        marked("?", query),
+        marked("#", fragment),
     )
 
 
@@ -123,83 +137,82 @@ def _drop_dot_segments(path: Column) -> Column:
         .when(seg == ".", acc)
         .otherwise(F.concat(acc, F.array(seg))),
     )
-    ends_on_dir = path.rlike(r"(^|/)\.{1,2}\z")
-    joined = F.array_join(
-        F.when(ends_on_dir, F.concat(kept, F.array(F.lit("")))).otherwise(kept), "/"
+    closing = F.when(path.rlike(r"(^|/)\.{1,2}\z"), F.array(F.lit(""))).otherwise(
+        F.array().cast("array<string>")
     )
-    plain = F.when(path == "", F.lit("/")).otherwise(path)
+    joined = F.array_join(F.concat(kept, closing), "/")
     return F.when(
-        path.rlike(r"(^|/)\.{1,2}(/|\z)"), F.when(joined == "", F.lit("/")).otherwise(joined)
-    ).otherwise(plain)
+        path.rlike(r"(^|/)\.{1,2}(/|\z)"), _let(joined, lambda j: F.when(j == "", F.lit("/")).otherwise(j))
+    ).otherwise(F.when(path == "", F.lit("/")).otherwise(path))
 
 
-def with_resolved_url(df: DataFrame, base: str, url: str, out: str) -> DataFrame:
-    """Add ``out``: the reference ``url`` resolved against ``base``."""
-    df = df.withColumns({"_b": url_parts(F.col(base)), "_u": url_parts(F.col(url))})
-    b, u = F.col("_b"), F.col("_u")
-    base_scheme = F.lower(b[SCHEME])
-    own_scheme = F.lower(u[SCHEME])
-    merged = F.regexp_replace(
-        F.when(b[PATH] == "", F.concat(F.lit("/"), u[PATH])).otherwise(
-            F.concat(F.regexp_replace(b[PATH], r"[^/]*\z", ""), u[PATH])
-        ),
-        "/+",
-        "/",
-    )
-    df = df.withColumn("_p", F.when(u[PATH].startswith("/"), u[PATH]).otherwise(merged))
-    same_page = (u[PATH] == "") & (u[PARAMS] == "")
-    resolved = (
-        F.when(F.col(url) == "", F.col(base))
-        .when(F.col(base) == "", F.col(url))
-        .when((own_scheme != "") & (own_scheme != base_scheme), F.col(url))
-        .when(~base_scheme.isin(*_RELATIVE_SCHEMES), F.col(url))
-        .when(
-            u[NETLOC] != "",
-            assemble(base_scheme, u[NETLOC], u[PATH], u[PARAMS], u[QUERY], u[FRAGMENT]),
-        )
-        .when(
-            same_page,
-            assemble(
-                base_scheme,
-                b[NETLOC],
-                b[PATH],
-                b[PARAMS],
-                F.when(u[QUERY] == "", b[QUERY]).otherwise(u[QUERY]),
-                u[FRAGMENT],
+def resolve_url(base: Column, url: Column) -> Column:
+    """The reference ``url`` resolved against ``base``."""
+
+    def resolve(v: Column) -> Column:
+        base, url, b, u = v["base"], v["url"], v["b"], v["u"]
+        base_scheme, own_scheme = F.lower(b[SCHEME]), F.lower(u[SCHEME])
+        merged = F.regexp_replace(
+            F.when(b[PATH] == "", F.concat(F.lit("/"), u[PATH])).otherwise(
+                F.concat(F.regexp_replace(b[PATH], r"[^/]*\z", ""), u[PATH])
             ),
+            "/+",
+            "/",
         )
-        .otherwise(
-            assemble(
-                base_scheme,
-                b[NETLOC],
-                _drop_dot_segments(F.col("_p")),
-                u[PARAMS],
-                u[QUERY],
-                u[FRAGMENT],
+        absolute = F.when(u[PATH].startswith("/"), u[PATH]).otherwise(merged)
+        here = (u[PATH] == "") & (u[PARAMS] == "")
+        elsewhere = u[NETLOC] != ""
+        return (
+            F.when(url == "", base)
+            .when(base == "", url)
+            .when((own_scheme != "") & (own_scheme != base_scheme), url)
+            .when(~base_scheme.isin(*_RELATIVE_SCHEMES), url)
+            .otherwise(
+                assemble(
+                    base_scheme,
+                    F.when(elsewhere, u[NETLOC]).otherwise(b[NETLOC]),
+                    F.when(elsewhere, u[PATH])
+                    .when(here, b[PATH])
+                    .otherwise(_let(absolute, _drop_dot_segments)),
+                    F.when(here & ~elsewhere, b[PARAMS]).otherwise(u[PARAMS]),
+                    F.when(here & ~elsewhere & (u[QUERY] == ""), b[QUERY]).otherwise(u[QUERY]),
+                    u[FRAGMENT],
+                )
             )
         )
+
+    parts = F.struct(
+        base.alias("base"), url.alias("url"), url_parts(base).alias("b"), url_parts(url).alias("u")
     )
-    return df.withColumn(out, resolved).drop("_b", "_u", "_p")
+    return _let(parts, resolve)
+
+
+def normalize_url(url: Column, base: Column | None = None) -> Column:
+    """The canonical spelling of ``url`` (resolved against ``base`` if given)."""
+
+    def normalize(n: Column) -> Column:
+        path = (
+            F.when(n[PATH] == "", F.lit("/"))
+            .when(
+                (F.length(n[PATH]) > 1) & n[PATH].endswith("/"), F.regexp_replace(n[PATH], r"/+\z", "")
+            )
+            .otherwise(n[PATH])
+        )
+        return assemble(
+            F.lower(n[SCHEME]), F.lower(n[NETLOC]), path, n[PARAMS], sorted_query(n[QUERY]), F.lit("")
+        )
+
+    return _let(url_parts(url if base is None else resolve_url(base, url)), normalize)
+
+
+def with_resolved_url(df: DataFrame, base: str, url: str, out: str) -> DataFrame:
+    return df.withColumn(out, resolve_url(F.col(base), F.col(url)))
 
 
 def with_normalized_url(
     df: DataFrame, url: str, out: str = "norm_url", base: str | None = None
 ) -> DataFrame:
-    """Add ``out``: the canonical spelling of ``url`` (resolved against ``base`` if given)."""
-    if base is not None:
-        df = with_resolved_url(df, base, url, "_abs")
-        url = "_abs"
-    df = df.withColumn("_n", url_parts(F.col(url)))
-    n = F.col("_n")
-    path = (
-        F.when(n[PATH] == "", F.lit("/"))
-        .when((F.length(n[PATH]) > 1) & n[PATH].endswith("/"), F.regexp_replace(n[PATH], r"/+\z", ""))
-        .otherwise(n[PATH])
-    )
-    norm = assemble(
-        F.lower(n[SCHEME]), F.lower(n[NETLOC]), path, n[PARAMS], sorted_query(n[QUERY]), F.lit("")
-    )
-    return df.withColumn(out, norm).drop("_n", "_abs")
+    return df.withColumn(out, normalize_url(F.col(url), None if base is None else F.col(base)))
 
 
 def path_with_query(url: Column) -> Column:
@@ -208,16 +221,22 @@ def path_with_query(url: Column) -> Column:
     Percent escapes are undone first, so an escaped and a plain spelling of one
     path meet the same rule.
     """
-    p = url_parts(_percent_decode(url))
-    text = F.concat(
-        p[PATH],
-        F.when(p[PARAMS] != "", F.concat(F.lit(";"), p[PARAMS])).otherwise(""),
-        F.when(p[QUERY] != "", F.concat(F.lit("?"), p[QUERY])).otherwise(""),
-        F.when(p[FRAGMENT] != "", F.concat(F.lit("#"), p[FRAGMENT])).otherwise(""),
-    )
-    # A path of its own that opens with '//' is written with an empty location before it.
-    located = F.when(text.startswith("//"), F.concat(F.lit("//"), text)).otherwise(text)
-    return F.when(text == "", F.lit("/")).otherwise(percent_encode(located))
+
+    def encode(text: Column) -> Column:
+        # A path of its own that opens with '//' is written with an empty location before it.
+        located = F.when(text.startswith("//"), F.concat(F.lit("//"), text)).otherwise(text)
+        return F.when(text == "", F.lit("/")).otherwise(percent_encode(located))
+
+    def join(p: Column) -> Column:
+        text = F.concat(
+            p[PATH],
+            F.when(p[PARAMS] != "", F.concat(F.lit(";"), p[PARAMS])).otherwise(""),
+            F.when(p[QUERY] != "", F.concat(F.lit("?"), p[QUERY])).otherwise(""),
+            F.when(p[FRAGMENT] != "", F.concat(F.lit("#"), p[FRAGMENT])).otherwise(""),
+        )
+        return _let(text, encode)
+
+    return _let(url_parts(_percent_decode(url)), join)
 
 
 def _percent_decode(x: Column) -> Column:

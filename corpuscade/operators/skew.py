@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.types import ArrayType, BinaryType, MapType, StringType, StructType
 
 MAX_BROADCAST_ROWS = 1_000_000
 MAX_BROADCAST_BYTES = 64 << 20
@@ -17,11 +18,18 @@ def fits_broadcast(
     max_rows: int = MAX_BROADCAST_ROWS,
     max_bytes: int = MAX_BROADCAST_BYTES,
 ) -> bool:
-    """Measure ``df``: one map-side combined count of rows and serialised bytes."""
-    size = df.select(
-        F.octet_length(F.to_json(F.struct(*[F.col(c) for c in df.columns]))).alias("b")
-    ).agg(F.count("*").alias("rows"), F.coalesce(F.sum("b"), F.lit(0)).alias("bytes")).first()
-    return size["rows"] <= max_rows and size["bytes"] <= max_bytes
+    """Measure ``df``: one map-side combined count of rows and bytes."""
+    width = F.lit(0)
+    for field in df.schema.fields:
+        if isinstance(field.dataType, (ArrayType, MapType, StructType)):
+            size = F.octet_length(F.to_json(F.struct(field.name)))
+        elif isinstance(field.dataType, (StringType, BinaryType)):
+            size = F.octet_length(field.name)
+        else:
+            size = F.lit(16)
+        width = width + F.coalesce(size, F.lit(0))
+    size = df.agg(F.count("*").alias("rows"), F.sum(width.cast("long")).alias("bytes")).first()
+    return size["rows"] <= max_rows and (size["bytes"] or 0) <= max_bytes
 
 
 def hot_keys(facts: DataFrame, on: list[str], share: int = HOT_SHARE) -> DataFrame:

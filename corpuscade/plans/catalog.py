@@ -2,12 +2,28 @@
 
 from __future__ import annotations
 
-from corpuscade.plans import retrieval, retrieval_sql
+from collections.abc import Callable
+from functools import wraps
 
+from pyspark.sql import DataFrame, SparkSession
 
-def queries() -> dict:
-    return {**retrieval.QUERIES}
+from corpuscade.plans import crawling, crawling_sql, retrieval, retrieval_sql
+from corpuscade.session import ship_package
+
+
+def _shipped(query: Callable[[SparkSession, str], DataFrame]):
+    @wraps(query)
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        ship_package(spark)
+        return query(spark, sf_dir)
+
+    return run
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    every = {**crawling.QUERIES, **retrieval.QUERIES}
+    return {name: _shipped(query) for name, query in every.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {**retrieval_sql.ORACLE}
+    return {**crawling_sql.ORACLE, **retrieval_sql.ORACLE}

@@ -2,12 +2,31 @@
 
 from __future__ import annotations
 
+import os
+import shutil
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 _LOCAL_FALLBACK: dict[str, str] = {}
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the Python workers, once per application."""
+    app = spark.sparkContext.applicationId
+    if app in _SHIPPED:
+        return
+    package = os.path.dirname(os.path.abspath(__file__))
+    archive = shutil.make_archive(
+        os.path.join(tempfile.mkdtemp(prefix="corpuscade-ship-"), "corpuscade"),
+        "zip",
+        os.path.dirname(package),
+        os.path.basename(package),
+    )
+    spark.sparkContext.addPyFile(archive)
+    _SHIPPED.add(app)
 
 
 def shared_dir(spark: SparkSession) -> str:
