@@ -7,7 +7,7 @@ from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corpuscade.plans import crawling, crawling_sql, retrieval, retrieval_sql
+from corpuscade.plans import crawling, crawling_sql, retrieval, retrieval_sql, streams
 from corpuscade.session import ship_package
 
 
@@ -21,9 +21,13 @@ def _shipped(query: Callable[[SparkSession, str], DataFrame]):
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    every = {**crawling.QUERIES, **retrieval.QUERIES}
+    every = {**crawling.QUERIES, **retrieval.QUERIES, **streams.QUERIES}
     return {name: _shipped(query) for name, query in every.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {**crawling_sql.ORACLE, **retrieval_sql.ORACLE}
+    same = {
+        "stream_page_dedup": f"SELECT DISTINCT norm_url FROM ({crawling_sql.LINK_NORMS})",
+        "stream_questions": retrieval_sql.ORACLE["rerank_top3"],
+    }
+    return {**crawling_sql.ORACLE, **retrieval_sql.ORACLE, **same}

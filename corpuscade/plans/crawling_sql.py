@@ -272,6 +272,8 @@ _FOUND = "site, seq, url, CAST(NULL AS VARCHAR) AS reason"
 _SKIPPED = "SELECT site, CAST(NULL AS BIGINT) AS seq, url, reason"
 _ALL_SITES = f"SELECT {domain('url')} FROM pages"
 
+LINK_NORMS = f"""WITH {LINKS} SELECT {normal('r')} AS norm_url FROM (SELECT {resolved('url', 'href')} AS r FROM links)"""
+
 ORACLE = {
     "url_domain": f"SELECT page_id, {domain('url')} AS domain FROM pages",
     "url_resolve": f"WITH {LINKS} SELECT page_id, pos, {resolved('url', 'href')} AS resolved FROM links",
