@@ -1,10 +1,16 @@
-"""Ranked cuts."""
+"""Ranked cuts, as windows and inside Arrow batches."""
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 CHUNK_ID = ("doc_id", "chunk_no")
+# Questions that are shipped to every task at once, and score cells held at a time.
+QUESTION_BLOCK = 8_192
+MAX_CELLS = 20_000_000
 
 
 def top_k(
@@ -28,3 +34,39 @@ def first_per_key(df: DataFrame, keys: list[str], order: list) -> DataFrame:
     """The first row of each key in the given order."""
     ranked = Window.partitionBy(*keys).orderBy(*order)
     return df.withColumn("_rn", F.row_number().over(ranked)).where("_rn <= 1").drop("_rn")
+
+
+class Leaders:
+    """The ``k`` best chunks per question among the score blocks a task has seen."""
+
+    def __init__(self, k: int, ids: tuple[str, ...]):
+        self.k, self.ids = k, ids
+        self.rows: list[np.ndarray] | None = None  # id columns, question, score
+
+    def add(self, own: list[np.ndarray], scores: np.ndarray, floor: float = -np.inf) -> None:
+        """Take in ``scores`` (chunks x questions); only cells above ``floor`` count."""
+        scores = np.round(scores, 6) + 0.0
+        wanted = scores > floor
+        if len(scores) > self.k:
+            wanted &= scores >= -np.partition(-scores, self.k - 1, axis=0)[self.k - 1]
+        chunk, question = np.nonzero(wanted)
+        new = [*[i[chunk] for i in own], question, scores[chunk, question]]
+        if self.rows is not None:
+            new = [np.concatenate(pair) for pair in zip(self.rows, new)]
+        *id_columns, question, score = new
+        order = np.lexsort((*reversed(id_columns), -score, question))
+        if len(order):
+            first = np.r_[0, np.flatnonzero(np.diff(question[order])) + 1]
+            place = np.arange(len(order)) - np.repeat(first, np.diff(np.r_[first, len(order)]))
+            order = order[place < self.k]
+        self.rows = [column[order] for column in new]
+
+    def batch(self, q_ids: pa.Array, types: list[pa.DataType]) -> pa.RecordBatch:
+        *id_columns, question, score = self.rows
+        columns = [q_ids.take(pa.array(question))]
+        columns += [pa.array(c).cast(t) for c, t in zip(id_columns, types)]
+        return pa.RecordBatch.from_arrays([*columns, pa.array(score)], names=["q_id", *self.ids, "score"])
+
+
+def leader_schema(q_id: StructField, source: DataFrame, ids: tuple[str, ...]) -> StructType:
+    return StructType([q_id, *[source.schema[i] for i in ids], StructField("score", DoubleType())])
