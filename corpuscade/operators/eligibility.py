@@ -13,9 +13,11 @@ DISALLOWED = "disallowed by robots.txt"
 FETCH_FAILED = "fetch failed: "
 
 
-def with_skip_reason(urls: DataFrame, robots: DataFrame, url: str = "url") -> DataFrame:
+def with_skip_reason(
+    urls: DataFrame, robots: DataFrame, url: str = "url", small: bool | None = None
+) -> DataFrame:
     """Add ``reason``: null when ``url`` may be crawled; the extension is looked at first."""
-    judged = with_allowed(urls, robots, url, out="_allowed")
+    judged = with_allowed(urls, robots, url, out="_allowed", small=small)
     return judged.withColumn(
         "reason",
         F.when(~is_content_url(F.col(url)), F.lit(NON_CONTENT)).when(~F.col("_allowed"), F.lit(DISALLOWED)),

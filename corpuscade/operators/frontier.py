@@ -41,11 +41,12 @@ def crawl_breadth_first(
         "frontier",
     )
     levels, found, skipped = [nodes], [], []
+    small_robots, small_sites = fits_broadcast(robots), fits_broadcast(sites)
     while not nodes.isEmpty():
-        judged = materialize(_judge(nodes, status, robots), "frontier-judged")
+        judged = materialize(_judge(nodes, status, robots, small_robots), "frontier-judged")
         accepted = materialize(_accept(judged, max_pages), "frontier-accepted")
         found.append(accepted.select("site", "seq", "url"))
-        skipped.append(_skips(judged, accepted, max_pages))
+        skipped.append(_skips(judged, accepted, max_pages, small_sites))
         nodes = materialize(_next_level(accepted, links, levels, max_pages), "frontier")
         levels.append(nodes)
     if not found:
@@ -54,14 +55,14 @@ def crawl_breadth_first(
     return reduce(DataFrame.unionByName, found), reduce(DataFrame.unionByName, skipped)
 
 
-def _judge(nodes: DataFrame, status: DataFrame, robots: DataFrame) -> DataFrame:
+def _judge(nodes: DataFrame, status: DataFrame, robots: DataFrame, small_robots: bool) -> DataFrame:
     """Add ``reason``: why a node is passed over, or null."""
     status = status.select(F.col("norm_url").alias("url"), "success", "error")
     urls = nodes.select("url").distinct()
     if fits_broadcast(urls):
         # Prune the page table where it lies before anything is shuffled.
         status = status.join(F.broadcast(urls), "url", "left_semi")
-    fetched = with_skip_reason(nodes, robots).join(status, "url", "left")
+    fetched = with_skip_reason(nodes, robots, small=small_robots).join(status, "url", "left")
     error = F.when(F.col("success").isNull(), F.lit(ABSENT)).when(~F.col("success"), F.col("error"))
     return fetched.withColumn(
         "reason", F.coalesce("reason", F.concat(F.lit(FETCH_FAILED), error))
@@ -83,10 +84,10 @@ def _accept(judged: DataFrame, max_pages: int) -> DataFrame:
     )
 
 
-def _skips(judged: DataFrame, accepted: DataFrame, max_pages: int) -> DataFrame:
+def _skips(judged: DataFrame, accepted: DataFrame, max_pages: int, small_sites: bool) -> DataFrame:
     """Nodes passed over before the site was full."""
     stop = accepted.where(F.col("seq") == max_pages).select("site", F.struct(*_ORDER).alias("_stop"))
-    passed = lookup_join(judged.where("reason is not null"), stop, ["site"], "left")
+    passed = lookup_join(judged.where("reason is not null"), stop, ["site"], "left", small=small_sites)
     return passed.where("_stop is null or struct(parent_seq, link_pos) < _stop").select("site", "url", "reason")
 
 

@@ -48,14 +48,20 @@ def parse_robots(texts: DataFrame) -> DataFrame:
     return texts.select("site", _rules("txt").alias("rules"), _sitemaps("txt").alias("sitemaps"))
 
 
-def with_allowed(urls: DataFrame, robots: DataFrame, url: str = "url", out: str = "allowed") -> DataFrame:
+def with_allowed(
+    urls: DataFrame, robots: DataFrame, url: str = "url", out: str = "allowed", small: bool | None = None
+) -> DataFrame:
     """Add whether the site's rules allow ``url``. Both sides carry ``site``.
 
     The rules of a site travel as one array, so the join adds no rows, and the
     order of the array decides.
     """
     ruled = lookup_join(
-        urls.withColumn("_path", path_with_query(F.col(url))), robots.select("site", "rules"), ["site"], "left"
+        urls.withColumn("_path", path_with_query(F.col(url))),
+        robots.select("site", "rules"),
+        ["site"],
+        "left",
+        small=small,
     )
     matching = F.filter(
         "rules", lambda r: (r["path"] == "*") | F.col("_path").startswith(r["path"])

@@ -102,7 +102,7 @@ def sitemap_entries(expanded: DataFrame, parsed: DataFrame) -> tuple[DataFrame,
 
     One sitemap that cannot be read takes its whole root with it.
     """
-    opened = expanded.join(parsed, "sitemap_url", "left").withColumn(
+    opened = lookup_join(expanded, parsed, ["sitemap_url"], "left").withColumn(
         "error", F.when(F.col("locs").isNull(), F.lit(UNREACHABLE)).otherwise(F.col("error"))
     )
     failed = (
@@ -111,11 +111,8 @@ def sitemap_entries(expanded: DataFrame, parsed: DataFrame) -> tuple[DataFrame,
         .agg(F.min(F.struct("path", "error")).alias("f"))
         .select(*_ROOT, F.concat(F.lit(FAILED), F.col("f.error")).alias("reason"))
     )
-    entries = (
-        opened.where("kind = 'urlset'")
-        .join(failed, _ROOT, "left_anti")
-        .select(*_ROOT, "sitemap_url", "path", F.posexplode("locs").alias("pos", "loc"))
-    )
+    whole = lookup_join(opened.where("kind = 'urlset'"), failed, _ROOT, "left_anti")
+    entries = whole.select(*_ROOT, "sitemap_url", "path", F.posexplode("locs").alias("pos", "loc"))
     return entries, failed
 
 

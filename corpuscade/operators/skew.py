@@ -75,8 +75,12 @@ def lookup_join(
     on: list[str],
     how: str = "inner",
     max_rows: int = MAX_BROADCAST_ROWS,
+    small: bool | None = None,
 ) -> DataFrame:
-    """Join ``facts`` to a smaller side: broadcast if it measures small, else salted."""
-    if fits_broadcast(dim, max_rows=max_rows):
+    """Join ``facts`` to a smaller side: broadcast if it measures small, else salted.
+
+    ``small`` hands in an earlier measurement, of ``dim`` or of a table holding it.
+    """
+    if fits_broadcast(dim, max_rows=max_rows) if small is None else small:
         return facts.join(F.broadcast(dim), on, how)
     return salted_join(facts, dim, on, how)

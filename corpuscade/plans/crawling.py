@@ -189,7 +189,11 @@ def sitemap_discovery(spark, sf_dir):
 def _walk(pages: DataFrame, sites: DataFrame):
     status = derived.graph_status(pages, pg.page_store(pages).drop("html"))
     return frontier.crawl_breadth_first(
-        sites, derived.link_graph(pages), materialize(status, "status"), _robots(pages), MAX_PAGES
+        sites,
+        materialize(derived.link_graph(pages), "links"),
+        materialize(status, "status"),
+        _robots(pages),
+        MAX_PAGES,
     )
 
 

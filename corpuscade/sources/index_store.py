@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from corpuscade.functions import text as tx
 from corpuscade.session import materialize
 from corpuscade.operators.chunking import CHUNK_SIZE, chunk_documents
+from corpuscade.operators.skew import lookup_join
 from corpuscade.operators.embedding import embed_chunks, hashed_embedding
 
 SCHEMAS = {
@@ -138,11 +139,10 @@ def refresh_index(
 ) -> None:
     """Add the documents whose text a namespace does not hold yet."""
     spark = docs.sparkSession
-    known = table(spark, base, "documents").select("namespace", "text_sha")
-    new = (
-        docs.select("namespace", "doc_id", "text", F.sha2("text", 256).alias("text_sha"))
-        .join(known, ["namespace", "text_sha"], "left_anti")
-    )
+    known = table(spark, base, "documents").select("namespace", "text_sha").distinct()
+    hashed = docs.select("namespace", "doc_id", "text", F.sha2("text", 256).alias("text_sha"))
+    # One text may make up much of a batch; its copies must not meet in one task.
+    new = lookup_join(hashed, known, ["namespace", "text_sha"], "left_anti")
     new = materialize(new, "index-refresh")
     if new.isEmpty():
         return

@@ -25,13 +25,12 @@ def page_store(pages: DataFrame) -> DataFrame:
     The first page stored under a URL counts. A page that breaks off before its
     closing tag is a failed fetch.
     """
-    whole = F.col("html").rlike(r"(?i)</html>")
-    keyed = first_per_key(with_normalized_url(pages, "url"), ["norm_url"], ["page_id"])
-    return keyed.select(
-        "norm_url",
-        F.coalesce(whole, F.lit(False)).alias("success"),
-        F.when(~F.coalesce(whole, F.lit(False)), F.lit(TRUNCATED)).alias("error"),
-        "html",
+    # Judged before the shuffle, so that html only travels when it is asked for.
+    judged = with_normalized_url(pages, "url").withColumn(
+        "success", F.coalesce(F.col("html").rlike(r"(?i)</html>"), F.lit(False))
+    )
+    return first_per_key(judged, ["norm_url"], [F.col("page_id")]).select(
+        "norm_url", "success", F.when(~F.col("success"), F.lit(TRUNCATED)).alias("error"), "html"
     )
 
 

@@ -2,13 +2,38 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from corpuscade.functions.urls import with_normalized_url
 
 
+def _collapse(urls: DataFrame, event_time: str | None) -> DataFrame:
+    """Drop repeats inside each Arrow batch, keeping the earliest time.
+
+    Streaming deduplication sends every row to its key's state partition; this way
+    a URL that makes up much of the stream arrives there about once per batch.
+    """
+    times = [] if event_time is None else [(event_time, "min")]
+
+    def collapse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            table = pa.Table.from_batches([batch]).group_by("norm_url").aggregate(times)
+            names = ["norm_url"] if event_time is None else ["norm_url", event_time]
+            order = ["norm_url", *[f"{t}_min" for t, _ in times]]
+            yield from table.select(order).rename_columns(names).to_batches()
+
+    return urls.mapInArrow(collapse, urls.schema)
+
+
 def first_sights(
-    urls: DataFrame, url: str = "url", base: str | None = None, event_time: str | None = None, within: str | None = None
+    urls: DataFrame,
+    url: str = "url",
+    base: str | None = None,
+    event_time: str | None = None,
+    within: str | None = None,
 ) -> DataFrame:
     """Distinct normalised URLs of a stream.
 
@@ -18,6 +43,6 @@ def first_sights(
     """
     normal = with_normalized_url(urls, url, base=base)
     if event_time is None:
-        return normal.select("norm_url").dropDuplicates(["norm_url"])
-    timed = normal.withWatermark(event_time, within).select("norm_url", event_time)
-    return timed.dropDuplicatesWithinWatermark(["norm_url"])
+        return _collapse(normal.select("norm_url"), None).dropDuplicates(["norm_url"])
+    timed = _collapse(normal.select("norm_url", event_time), event_time)
+    return timed.withWatermark(event_time, within).dropDuplicatesWithinWatermark(["norm_url"])

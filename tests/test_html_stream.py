@@ -39,3 +39,16 @@ def test_streams_equal_batch(spark, sf_dir):
     urls = [r["norm_url"] for r in q["stream_page_dedup"](spark, sf_dir).collect()]
     links = q["url_normalize"](spark, sf_dir).where("pos >= 0").select("norm_url").distinct()
     assert len(urls) == len(set(urls)) and set(urls) == {r["norm_url"] for r in links.collect()}
+
+
+def test_watermarked_first_sights(spark, tmp_path):
+    from corpuscade.streaming.pages import first_sights
+    from corpuscade.streaming.runner import drain_to_parquet, stream_session
+
+    src = str(tmp_path / "src")
+    rows = [("http://h/a", "2024-01-01 00:00:00"), ("http://h/a/", "2024-01-01 00:05:00"), ("HTTP://h/b", "2024-01-01 00:06:00")]
+    timed = spark.createDataFrame(rows, "url string, at string").withColumn("at", F.to_timestamp("at"))
+    timed.write.parquet(src)
+    stream = stream_session(spark, 2).readStream.schema(timed.schema).parquet(src)
+    out = drain_to_parquet(first_sights(stream, event_time="at", within="1 hour"), "timed")
+    assert sorted(r["norm_url"] for r in spark.read.parquet(out).collect()) == ["http://h/a", "http://h/b"]
