@@ -108,11 +108,6 @@ f_all AS (SELECT q_id, doc_id, chunk_no, round(sum(1.0 / ({fusion.RRF_K - 1} + r
 f_pool AS ({ranked('f_all', fusion.POOL_SIZE)})"""
 
 
-def grams(x: str) -> str:
-    t = terms(x)
-    return f"list_transform(range(1, len({t})), lambda i: {t}[i] || ' ' || {t}[i + 1])"
-
-
 def share(q: str, p: str) -> str:
     q = f"list_distinct({q})"
     return f"coalesce(len(list_intersect({q}, {p}))::DOUBLE / nullif(len({q}), 0), 0.0)"
