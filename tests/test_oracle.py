@@ -4,8 +4,9 @@ import pytest
 
 import __spark_entry__ as entry
 from compare import connect, difference
+from corpuscade.plans import catalog
 
-QUERIES, SQL = entry.queries(), entry.oracle_sql()
+QUERIES, SQL = catalog.queries(), catalog.oracle_sql()
 
 
 @pytest.fixture(scope="module")
