@@ -7,13 +7,16 @@ from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corpuscade.llm import bpe
+from corpuscade.llm import bpe, fertility, kdtree, mixing
 from corpuscade.session import ship_package
 
 QUERIES = {
     "op1_byte_bpe": bpe.op1_byte_bpe,
+    "op2_fertility": fertility.op2_fertility,
+    "op3_kdtree_shards": kdtree.op3_kdtree_shards,
+    "op9_mixing": mixing.op9_mixing,
 }
-ORACLE: dict[str, str] = {}
+ORACLE = {"op9_mixing": mixing.OP9_SQL}
 
 
 def _shipped(query: Callable[[SparkSession, str], DataFrame]):
