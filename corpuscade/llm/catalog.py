@@ -7,14 +7,16 @@ from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corpuscade.llm import bpe, fertility, kdtree, mixing
+from corpuscade.llm import bpe, factorisation, fertility, ftrl, kdtree, mixing
 from corpuscade.session import ship_package
 
 QUERIES = {
     "op1_byte_bpe": bpe.op1_byte_bpe,
     "op2_fertility": fertility.op2_fertility,
     "op3_kdtree_shards": kdtree.op3_kdtree_shards,
+    "op7_toxicity": ftrl.op7_toxicity,
     "op9_mixing": mixing.op9_mixing,
+    "op10_factorisation": factorisation.op10_factorisation,
 }
 ORACLE = {"op9_mixing": mixing.OP9_SQL}
 
