@@ -47,6 +47,21 @@ class WordHashes(dict):
         return np.fromiter(map(self.__getitem__, found), np.uint64, len(found))
 
 
+#: Punctuation that plain words do not have at their edges.
+EDGES = ".,;:!?\"'()[]{}<>*#$%&|-_~`+=/\\"
+
+
+class PlainWords(WordHashes):
+    """Hashes of words in lower case without punctuation at the edges."""
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) >= self.limit:
+            self.clear()
+        plain = word.decode("utf-8", "replace").lower().strip(EDGES) or "\0"
+        value = self[word] = xxhash.xxh3_64_intdigest(plain.encode())
+        return value
+
+
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _MIX = np.uint64(0xBF58476D1CE4E5B9)
 _MIX2 = np.uint64(0x94D049BB133111EB)

@@ -12,9 +12,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from corpuscade.llm.common import grams, mix, per_batch, table, words
-from corpuscade.llm.ftrl import PlainWords, sigmoid
-from corpuscade.llm.labelled import SAMPLE, int_lists, learn, remainder, sample
+from corpuscade.llm.common import PlainWords, grams, mix, per_batch, table, words
+from corpuscade.llm.labelled import SAMPLE, int_lists, learn, remainder, sample, sigmoid
 
 BITS = 16
 RANK = 8

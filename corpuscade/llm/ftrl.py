@@ -13,33 +13,55 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from corpuscade.llm.common import WordHashes, grams, mix, per_batch, table, words
-from corpuscade.llm.labelled import SAMPLE, int_lists, learn, remainder, sample
+from corpuscade.llm.common import EDGES, grams, mix, per_batch, table, words
+from corpuscade.llm.labelled import SAMPLE, int_lists, learn, remainder, sample, sigmoid
 
 BITS = 20
-ALPHA, BETA, L1, L2 = 0.15, 1.0, 0.8, 0.1
+ALPHA, BETA, L1, L2 = 0.3, 1.0, 6.0, 0.1
 EPOCHS = 4
 THRESHOLD = 0.3
 #: Skip-grams join words that have 1 or 2 others between them.
 SKIPS = (2, 3)
-EDGES = ".,;:!?\"'()[]{}<>*#$%&|-_~`+=/\\"
+#: Characters at a word's beginning that are features of their own.
+STEMS = (4, 5, 6)
 
 
-class PlainWords(WordHashes):
-    """Hashes of words in lower case without punctuation at the edges."""
+class Stems(dict):
+    """Word to a row of ``hashes``: of the plain word and of its first characters.
+
+    Languages that inflect have many forms of one word; its beginning is what they share.
+    """
+
+    def __init__(self, limit: int = 300_000):
+        super().__init__()
+        self.limit, self.hashes, self._new = limit, np.empty((0, 1 + len(STEMS)), np.uint64), []
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) >= self.limit:
-            self.clear()
         plain = word.decode("utf-8", "replace").lower().strip(EDGES) or "\0"
-        value = self[word] = xxhash.xxh3_64_intdigest(plain.encode())
-        return value
+        self._new.append([_hash(plain), *(_hash(f"{plain[:k]}\0{k}") if len(plain) > k else 0 for k in STEMS)])
+        number = self[word] = len(self)
+        return number
+
+    def of(self, found: list[bytes]) -> np.ndarray:
+        if len(self) > self.limit:
+            self.clear()
+            self.hashes = self.hashes[:0]
+        numbers = np.fromiter(map(self.__getitem__, found), np.int64, len(found))
+        if self._new:
+            self.hashes = np.concatenate([self.hashes, np.array(self._new, np.uint64)])
+            self._new.clear()
+        return self.hashes[numbers]
+
+
+def _hash(text: str) -> int:
+    return xxhash.xxh3_64_intdigest(text.encode())
 
 
-def features(text: str | None, known: PlainWords, bits: int = BITS) -> np.ndarray:
-    """The coordinates of a text, each once: words, neighbours, and skip-grams."""
-    h = known.of(words(text))
-    parts = [mix(h), grams(h, 2)]
+def features(text: str | None, known: Stems, bits: int = BITS) -> np.ndarray:
+    """The coordinates of a text, each once: words and stems, neighbours, and skip-grams."""
+    rows = known.of(words(text))
+    h, stems = rows[:, 0], rows[:, 1:].ravel()
+    parts = [mix(h), mix(stems[stems != 0]), grams(h, 2)]
     for gap in SKIPS:
         if len(h) > gap:
             parts.append(mix(h[:-gap] * np.uint64(2 * gap + 1) + mix(h[gap:] + np.uint64(gap))))
@@ -66,10 +88,6 @@ class FTRL:
         self.n[at] = n + gradient * gradient
 
 
-def sigmoid(x):
-    return 1 / (1 + np.exp(-np.clip(x, -40, 40)))
-
-
 def train(docs: DataFrame, labels: DataFrame, label: str, usable, limit: int = SAMPLE) -> tuple[np.ndarray, np.ndarray, float]:
     """Coordinates, their weights that are not zero, and the bias.
 
@@ -79,7 +97,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str, usable, limit: int = S
     rows = sample(docs, labels, label, usable, limit)
 
     def make() -> Callable[[pa.RecordBatch], dict]:
-        known = PlainWords()
+        known = Stems()
 
         def step(batch: pa.RecordBatch) -> dict:
             found = [features(t.as_py(), known) for t in batch.column("text")]
@@ -114,7 +132,7 @@ def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, float]) -> DataF
 
     def make() -> Callable[[pa.RecordBatch], dict]:
         at, w, bias = shared.value
-        dense, known = np.zeros(1 << BITS), PlainWords()
+        dense, known = np.zeros(1 << BITS), Stems()
         dense[at] = w
 
         def step(batch: pa.RecordBatch) -> dict:

@@ -12,6 +12,10 @@ from pyspark.sql import Column, DataFrame, functions as F
 SAMPLE = 12_000
 
 
+def sigmoid(x):
+    return 1 / (1 + np.exp(-np.clip(x, -40, 40)))
+
+
 def remainder(modulus: int, doc_id: str = "doc_id") -> Column:
     """crc32 of the id as text (null: empty), modulo ``modulus``."""
     return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")) % modulus
