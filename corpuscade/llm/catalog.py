@@ -7,13 +7,15 @@ from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corpuscade.llm import bpe, factorisation, fertility, ftrl, kdtree, mixing
+from corpuscade.llm import bpe, factorisation, fertility, ftrl, kdtree, mixing, run_index, seed_extend
 from corpuscade.session import ship_package
 
 QUERIES = {
     "op1_byte_bpe": bpe.op1_byte_bpe,
     "op2_fertility": fertility.op2_fertility,
     "op3_kdtree_shards": kdtree.op3_kdtree_shards,
+    "op4_run_index": run_index.op4_run_index,
+    "op5_seed_extend": seed_extend.op5_seed_extend,
     "op7_toxicity": ftrl.op7_toxicity,
     "op9_mixing": mixing.op9_mixing,
     "op10_factorisation": factorisation.op10_factorisation,
