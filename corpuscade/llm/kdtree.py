@@ -2,12 +2,13 @@
 
 A node is cut at the weighted median of its widest dimension until every leaf holds
 the target bytes. Rows are never moved to find the cuts: a cut is found by narrowing
-down, with one grouped sum for each twelve bits of the cut key, and only the cuts
+down, with one grouped sum for each fifteen bits of the cut key, and only the cuts
 (fewer than leaves) reach the driver.
 """
 
 from __future__ import annotations
 
+import json
 import math
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
@@ -17,7 +18,7 @@ from corpuscade.session import materialize
 
 COORDINATE_BITS = 20
 TIE_BITS = 40
-STEP_BITS = 12
+STEP_BITS = 15
 #: A cut is fine enough when its last bucket holds this share of a leaf.
 FINE = 1e-4
 
@@ -51,7 +52,11 @@ def _key(dim: Column) -> Column:
 
 
 def _nodes(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
-    return F.broadcast(spark.createDataFrame(rows, schema))  # fewer rows than leaves
+    """A broadcast table of at most one row for each leaf, from one literal."""
+    names = [field.split()[0] for field in schema.split(", ")]
+    packed = F.lit(json.dumps([dict(zip(names, row)) for row in rows]))
+    entries = F.from_json(packed, f"array<struct<{schema.replace(' ', ': ').replace(',: ', ', ')}>>")
+    return F.broadcast(spark.range(1).select(F.inline(entries)))
 
 
 def _descend(df: DataFrame, cuts: list[tuple]) -> DataFrame:
@@ -89,7 +94,7 @@ def _cuts(rows: DataFrame, weight: str, wanted: dict[int, tuple[int, float]], fi
             .groupBy("_node", "_need", F.shiftright(key, shift).alias("_bucket"))
             .agg(F.sum(weight).alias("_w"))
         )
-        # At most 4,096 buckets a node; the running sum up to the bucket that crosses.
+        # At most 32,768 buckets a node; the running sum up to the bucket that crosses.
         upto = "sum(_w) over (partition by _node order by _bucket)"
         crossing = (
             sums.withColumn("_sum", F.expr(upto))
@@ -109,7 +114,7 @@ def _cuts(rows: DataFrame, weight: str, wanted: dict[int, tuple[int, float]], fi
 def kd_shards(df: DataFrame, weight: str, dims: list[str], leaves: int, tie: Column) -> DataFrame:
     """Add ``shard``: the leaf (0 to ``leaves`` - 1, left to right) of each row.
 
-    ``df`` is read once for each twelve bits of each level's cuts, so hand in a narrow,
+    ``df`` is read once for each fifteen bits of each level's cuts, so hand in a narrow,
     materialised table. ``tie`` is a hash that tells rows apart where all dimensions agree;
     only rows that agree in it, too, always go together. Null metadata counts as the
     lowest value. An empty table gives an empty table; with fewer rows than leaves some
