@@ -196,23 +196,27 @@ def decode(df: DataFrame, column: str = "ids", path: str | None = None) -> DataF
     return _mapped(df, {"decoded": "string"}, step, path)
 
 
-def digests(df: DataFrame, column: str = "text", path: str | None = None) -> DataFrame:
+def digests(df: DataFrame, column: str = "text", path: str | None = None, keep_ids: bool = False) -> DataFrame:
     """Add ``n_tokens``, ``ids_sha256`` and ``decoded_sha256``: encode, then decode the ids.
 
-    Like ``encode`` and ``decode`` in one pass, without keeping the ids.
+    Like ``encode`` and ``decode`` in one pass, without offsets, and with ``ids`` only
+    if ``keep_ids`` asks for them.
     """
 
     def step(coder: Codec, batch: pa.RecordBatch) -> dict[str, pa.Array]:
-        counts, encoded, decoded = [], [], []
+        counts, encoded, decoded, all_ids = [], [], [], []
         for text in batch.column(column):
             packed = coder.encode(text.as_py())
+            if keep_ids:
+                all_ids.append(packed)
             ids = np.frombuffer(packed, "<u4")
             counts.append(len(ids))
             encoded.append(hashlib.sha256(packed).hexdigest())
             decoded.append(hashlib.sha256(coder.decode_bytes(ids)).hexdigest())
-        return {"n_tokens": pa.array(counts, pa.int64()), "ids_sha256": pa.array(encoded), "decoded_sha256": pa.array(decoded)}
+        out = {"n_tokens": pa.array(counts, pa.int64()), "ids_sha256": pa.array(encoded, pa.string()), "decoded_sha256": pa.array(decoded, pa.string())}
+        return out | ({"ids": _id_lists(all_ids)} if keep_ids else {})
 
-    added = {"n_tokens": "bigint", "ids_sha256": "string", "decoded_sha256": "string"}
+    added = {"n_tokens": "bigint", "ids_sha256": "string", "decoded_sha256": "string"} | ({"ids": "array<int>"} if keep_ids else {})
     return _mapped(df, added, step, path)
 
 

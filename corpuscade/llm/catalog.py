@@ -7,7 +7,7 @@ from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corpuscade.llm import bpe, factorisation, fertility, ftrl, icws, kdtree, mixing, run_index, seed_extend
+from corpuscade.llm import bpe, factorisation, fertility, ftrl, hnsw, icws, kdtree, mixing, run_index, seed_extend
 from corpuscade.session import ship_package
 
 QUERIES = {
@@ -16,6 +16,7 @@ QUERIES = {
     "op3_kdtree_shards": kdtree.op3_kdtree_shards,
     "op4_run_index": run_index.op4_run_index,
     "op5_seed_extend": seed_extend.op5_seed_extend,
+    "op6_hnsw": hnsw.op6_hnsw,
     "op7_toxicity": ftrl.op7_toxicity,
     "op8_icws": icws.op8_icws,
     "op9_mixing": mixing.op9_mixing,

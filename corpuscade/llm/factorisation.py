@@ -133,9 +133,13 @@ def train(docs: DataFrame, labels: DataFrame, label: str, usable, limit: int = S
     return w, v.reshape(-1, RANK), float(w0[0])
 
 
-def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, float]) -> DataFrame:
-    """(doc_id, score), row by row; null and empty texts are scored by their statistics."""
+def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, float], keep: list[str] | None = None) -> DataFrame:
+    """The columns ``keep`` (doc_id unless told otherwise) and ``score``, row by row.
+
+    Null and empty texts are scored by their statistics. A column called score is replaced.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model)  # 2.4 MB
+    keep = [c for c in (["doc_id"] if keep is None else keep) if c != "score"]
 
     def make() -> Callable[[pa.RecordBatch], dict]:
         (w, v, w0), known = shared.value, PlainWords()
@@ -145,12 +149,21 @@ def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, float]) -> DataF
             for text in batch.column("text"):
                 at, x = features(text.as_py(), known)
                 scores.append(w0 + value(w[at], v[at], x)[0])
-            return {"doc_id": batch.column("doc_id"), "score": sigmoid(np.array(scores, float))}
+            return {**{c: batch.column(c) for c in keep}, "score": sigmoid(np.array(scores, float))}
 
         return step
 
-    kind = dict(docs.select("doc_id").dtypes)["doc_id"]
-    return per_batch(docs.select("doc_id", "text"), f"doc_id {kind}, score double", make)
+    read = docs.select(*dict.fromkeys([*keep, "text"]))
+    schema = ", ".join(f"`{n}` {t}" for n, t in docs.select(*keep).dtypes)
+    return per_batch(read, f"{schema}, score double", make)
+
+
+def accepted(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """The documents that score ``threshold`` or more, with their own columns."""
+    model = train(docs, labels, "quality", remainder(5) != 0)
+    named = docs.withColumnRenamed("score", "_score") if "score" in docs.columns else docs
+    kept = score(named, model, named.columns).where(F.col("score") >= threshold).drop("score")
+    return kept.withColumnRenamed("_score", "score") if "score" in docs.columns else kept
 
 
 def op10_factorisation(spark: SparkSession, sf_dir: str) -> DataFrame:

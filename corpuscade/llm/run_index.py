@@ -216,5 +216,31 @@ def removed(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     )
 
 
+def cleaned(docs: DataFrame, window: int = WINDOW) -> DataFrame:
+    """``docs`` with those bytes taken out of ``text`` (and ``n_chars``, if there, set anew).
+
+    What a cut leaves of a character is dropped with it. Every row stays, if need be with
+    an empty text; a text without repeats stays as it is, null included.
+    """
+    texts = materialize(different_texts(docs), "different")
+    found = repeats(docs, window, texts).select("t1", "t2", "kept")
+    known = texts.select("t1", "t2", (F.col("ord") > 1).alias("_copied")).join(found, ["t1", "t2"], "left")
+    known = known.where("_copied or kept is not null").withColumnsRenamed({"t1": "_t1", "t2": "_t2", "kept": "_kept"})
+    t1, t2 = text_keys()
+    rows = docs.withColumns({"_u1": t1, "_u2": t2})
+    met = rows.join(known, (F.col("_u1") == F.col("_t1")) & (F.col("_u2") == F.col("_t2")), "left")
+    whole = F.coalesce(F.col("_copied"), F.lit(False)) & (F.octet_length("text") >= window)
+    text = F.when(whole, F.lit("")).otherwise(F.coalesce(_valid(F.col("_kept")), F.col("text")))
+    out = met.withColumn("text", text)
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    return out.select(*docs.columns)
+
+
+def _valid(data):
+    """Bytes as text, without what is not UTF-8."""
+    return F.replace(F.make_valid_utf8(data.cast("string")), F.lit("\ufffd"), F.lit(""))
+
+
 def op4_run_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return removed(table(spark, sf_dir, "documents")).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
