@@ -5,7 +5,9 @@ A page never leaves its row, so none of this shuffles.
 
 from __future__ import annotations
 
+import json
 from functools import reduce
+from html.entities import html5
 
 from pyspark.sql import Column, functions as F
 
@@ -17,12 +19,10 @@ BLOCK_TAGS = (
     "p", "div", "li", "h1", "h2", "h3", "h4", "h5", "h6",
     "article", "section", "blockquote", "pre", "td", "th", "dt", "dd",
 )
-# Named character references that occur in page text; '&amp;' must come last.
-ENTITIES = (
-    ("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"),
-    ("&copy;", "©"), ("&middot;", "·"), ("&hellip;", "…"), ("&ndash;", "–"), ("&mdash;", "—"),
-    ("&amp;", "&"),
-)
+# A link's target in double or single quotes or bare (groups 1 to 3).
+HREF = r"""<a\b[^>]*?\shref\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))"""
+# Character references: decimal, hexadecimal, or by name.
+REFERENCE = r"&(#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[a-zA-Z][a-zA-Z0-9]{1,31});"
 # Prune settings.
 PRUNE_THRESHOLD = 0.6
 MIN_WORDS = 2
@@ -43,8 +43,46 @@ def strip_boilerplate(html: Column) -> Column:
     )
 
 
+def _character(point: Column) -> Column:
+    """The character of a code point; the replacement character where there is none.
+
+    128 to 159 stand for what Windows-1252 has there, as browsers read them.
+    """
+    upper = bytes(range(0x80, 0xA0)).decode("cp1252", "replace")
+    legacy = F.substring(F.lit(upper), (point - 127).cast("int"), F.lit(1))
+    real = ((point > 0) & (point < 0xD800)) | ((point > 0xDFFF) & (point < 0x110000))
+    made = F.decode(F.unhex(F.lpad(F.hex(F.when(real, point).otherwise(0xFFFD)), 8, "0")), "UTF-32")
+    return F.when(point.between(0x80, 0x9F), legacy).otherwise(made)
+
+
+def _referred(name: Column) -> Column:
+    """What a reference's inside stands for; null for an unknown name."""
+    names = F.from_json(
+        F.lit(json.dumps({n[:-1]: c for n, c in html5.items() if n.endswith(";")})), "map<string,string>"
+    )
+    hexadecimal = F.conv(F.substr(name, F.lit(3)), 16, 10).cast("long")
+    decimal = F.substr(name, F.lit(2)).try_cast("long")
+    return (
+        F.when(name.rlike("^#[xX]"), _character(hexadecimal))
+        .when(name.startswith("#"), _character(decimal))
+        .otherwise(F.try_element_at(names, name))
+    )
+
+
 def unescape(text: Column) -> Column:
-    return reduce(lambda c, e: F.replace(c, F.lit(e[0]), F.lit(e[1])), ENTITIES, text)
+    """Decode character references, each once; no-break spaces become spaces.
+
+    References that lack the semicolon or are unknown stay as they are.
+    """
+    between = F.split(text, REFERENCE)
+    inside = F.regexp_extract_all(text, F.lit(REFERENCE), F.lit(1))
+    pieces = F.zip_with(
+        between,
+        inside,
+        lambda t, n: F.concat(t, F.coalesce(_referred(n), F.concat(F.lit("&"), n, F.lit(";")), F.lit(""))),
+    )
+    decoded = F.when(F.contains(text, F.lit("&")), F.array_join(pieces, "")).otherwise(text)
+    return F.replace(decoded, F.lit("\u00a0"), F.lit(" "))
 
 
 def plain_text(html: Column) -> Column:
@@ -59,9 +97,7 @@ def link_text(html: Column) -> Column:
 
 def inline_markdown(html: Column) -> Column:
     """Links, bold and italics in Markdown; other tags go."""
-    linked = F.regexp_replace(
-        html, r'(?is)<a\b[^>]*\bhref="([^"]*)"[^>]*>(.*?)</a>', "[$2]($1)"
-    )
+    linked = F.regexp_replace(html, rf"(?is){HREF}[^>]*>(.*?)</a>", "[$4]($1$2$3)")
     bold = F.regexp_replace(linked, r"(?is)<(?:b|strong)>(.*?)</(?:b|strong)>", "**$1**")
     italic = F.regexp_replace(bold, r"(?is)<(?:i|em)>(.*?)</(?:i|em)>", "*$1*")
     return plain_text(italic)
@@ -175,5 +211,8 @@ def fit_or_raw(fit: Column, raw: Column) -> Column:
 
 
 def hrefs(html: Column) -> Column:
-    """Link targets in page order."""
-    return F.regexp_extract_all(html, F.lit(r'(?i)<a\b[^>]*\bhref="([^"]*)"'), F.lit(1))
+    """Link targets in page order, with their character references decoded."""
+    found = F.regexp_extract_all(html, F.lit(rf"(?i)({HREF})"), F.lit(1))
+    quoted = F.transform(found, lambda a: F.regexp_extract(a, r"(?is)\shref\s*=\s*(.*)$", 1))
+    bare = F.transform(quoted, lambda q: F.when(q.rlike("^[\"']"), F.substr(q, F.lit(2), F.length(q) - 2)).otherwise(q))
+    return F.transform(bare, unescape)

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from urllib.robotparser import RobotFileParser
+from dataclasses import dataclass, field
+from urllib.parse import quote, unquote, urlsplit
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
@@ -11,41 +12,90 @@ from pyspark.sql.types import ArrayType, BooleanType, IntegerType, StringType, S
 from corpuscade.functions.urls import path_with_query, with_normalized_url
 from corpuscade.operators.skew import lookup_join
 
-_RULES = ArrayType(
-    StructType().add("rule_no", IntegerType()).add("path", StringType()).add("allow", BooleanType())
+_PARSED = (
+    StructType()
+    .add("rules", ArrayType(StructType().add("rule_no", IntegerType()).add("path", StringType()).add("allow", BooleanType())))
+    .add("sitemaps", ArrayType(StringType()))
 )
-_RULES_ARROW = pa.list_(
-    pa.struct([("rule_no", pa.int32()), ("path", pa.string()), ("allow", pa.bool_())])
+_PARSED_ARROW = pa.struct(
+    [
+        ("rules", pa.list_(pa.struct([("rule_no", pa.int32()), ("path", pa.string()), ("allow", pa.bool_())]))),
+        ("sitemaps", pa.list_(pa.string())),
+    ]
 )
+# Directives that belong to a group without being a rule.
+PACING = ("crawl-delay", "request-rate")
 DEFAULT_SITEMAP = "/sitemap.xml"
 
 
-def _read(text: str | None) -> RobotFileParser:
-    parser = RobotFileParser()
-    parser.parse((text or "").splitlines())
-    return parser
+@dataclass
+class _Group:
+    """Agents that are spoken to together, and their rules in file order."""
 
+    agents: list[str] = field(default_factory=list)
+    rules: list[tuple[str, bool]] = field(default_factory=list)
+    started: bool = False  # a directive followed the agents
 
-@F.arrow_udf(_RULES)
-def _rules(texts: pa.Array) -> pa.Array:
-    """Rules of the group that speaks to every agent; the first one in file order decides."""
-    out = []
-    for text in texts.to_pylist():
-        parser = _read(text)
-        groups = [g for g in parser.entries if g.applies_to("*")] + [parser.default_entry]
-        lines = groups[0].rulelines if groups[0] else []
-        out.append([{"rule_no": i, "path": r.path, "allow": r.allowance} for i, r in enumerate(lines)])
-    return pa.array(out, type=_RULES_ARROW)
+    @property
+    def unnamed(self) -> bool:
+        """An agent without a name is every agent, too."""
+        return "" in self.agents and "*" not in self.agents
+
+
+def _path(value: str) -> str:
+    """A rule's path as URLs spell it."""
+    return quote(urlsplit(value).geturl())
 
 
-@F.arrow_udf(ArrayType(StringType()))
-def _sitemaps(texts: pa.Array) -> pa.Array:
-    return pa.array([_read(t).site_maps() or [] for t in texts.to_pylist()], type=pa.list_(pa.string()))
+def read_robots(text: str | None) -> tuple[list[tuple[str, bool]], list[str]]:
+    """Rules (path, allow) for every agent, and the sitemaps, in file order.
+
+    Agents that follow each other open a group; directives fill it; an empty line or the
+    next agent closes it, and a group closed before any directive is void. Directives
+    outside a group are void, too. The first group that names ``*`` counts, unless one
+    whose agent has no name at all takes its place. An empty
+    Disallow allows all. Anything after ``#`` is a comment, and a line that is only a
+    comment or blanks is no empty line.
+    """
+    closed: list[_Group] = []
+    sitemaps: list[str] = []
+    group: _Group | None = None
+    for line in [*(text or "").splitlines(), ""]:
+        name, colon, value = line.partition("#")[0].strip().partition(":")
+        name, value = name.strip().lower(), unquote(value.strip())
+        if line == "" or (colon and name == "user-agent" and group and group.started):
+            if group and group.started:
+                closed.append(group)
+            group = None
+        if not colon:
+            continue
+        if name == "sitemap":
+            sitemaps.append(value)
+        elif name == "user-agent":
+            group = group or _Group()
+            group.agents.append(value)
+        elif group and name in ("allow", "disallow"):
+            group.started = True
+            group.rules.append((_path(value), name == "allow" or value == ""))
+        elif group and name in PACING:
+            group.started = True
+    to_all = [g for g in closed if g.unnamed] + [g for g in closed if "*" in g.agents]
+    return (to_all[0].rules if to_all else []), sitemaps
+
+
+@F.arrow_udf(_PARSED)
+def _parsed(texts: pa.Array) -> pa.Array:
+    out = []
+    for text in texts.to_pylist():
+        rules, sitemaps = read_robots(text)
+        numbered = [{"rule_no": i, "path": path, "allow": allow} for i, (path, allow) in enumerate(rules)]
+        out.append({"rules": numbered, "sitemaps": sitemaps})
+    return pa.array(out, type=_PARSED_ARROW)
 
 
 def parse_robots(texts: DataFrame) -> DataFrame:
     """``(site, rules, sitemaps)`` from ``(site, txt)``; no text means no rules."""
-    return texts.select("site", _rules("txt").alias("rules"), _sitemaps("txt").alias("sitemaps"))
+    return texts.select("site", _parsed("txt").alias("_p")).select("site", "_p.rules", "_p.sitemaps")
 
 
 def with_allowed(

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
 CHUNK_ID = ("doc_id", "chunk_no")
@@ -13,6 +13,15 @@ QUESTION_BLOCK = 8_192
 MAX_CELLS = 20_000_000
 
 
+# Scores are compared and returned with six decimals.
+SCALE = 1e6
+
+
+def rounded(score) -> Column:
+    """The rounding that every plan applies to a score: half up, the same in SQL and NumPy."""
+    return F.floor(F.col(score) * SCALE + 0.5) / SCALE
+
+
 def top_k(
     df: DataFrame,
     k: int,
@@ -43,12 +52,13 @@ class Leaders:
         self.k, self.ids = k, ids
         self.rows: list[np.ndarray] | None = None  # id columns, question, score
 
-    def add(self, own: list[np.ndarray], scores: np.ndarray, floor: float = -np.inf) -> None:
-        """Take in ``scores`` (chunks x questions); only cells above ``floor`` count."""
-        scores = np.round(scores, 6) + 0.0
-        wanted = scores > floor
+    def add(self, own: list[np.ndarray], scores: np.ndarray, matched: np.ndarray | None = None) -> None:
+        """Take in ``scores`` (chunks x questions); only ``matched`` cells count, if given."""
+        scores = np.floor(scores * SCALE + 0.5) / SCALE + 0.0  # as rounded() has it
+        wanted = np.ones(scores.shape, bool) if matched is None else matched
+        scores = np.where(wanted, scores, -np.inf)
         if len(scores) > self.k:
-            wanted &= scores >= -np.partition(-scores, self.k - 1, axis=0)[self.k - 1]
+            wanted = wanted & (scores >= -np.partition(-scores, self.k - 1, axis=0)[self.k - 1])
         chunk, question = np.nonzero(wanted)
         new = [*[i[chunk] for i in own], question, scores[chunk, question]]
         if self.rows is not None:

@@ -73,7 +73,10 @@ def digest(x: str, modulo) -> str:
 
 LINKS = r"""links AS (
   SELECT page_id, url, CAST(generate_subscripts(hs, 1) - 1 AS BIGINT) AS pos, unnest(hs) AS href
-  FROM (SELECT page_id, url, regexp_extract_all(html, '(?i)<a\b[^>]*\bhref="([^"]*)"', 1) AS hs FROM pages))"""
+  FROM (SELECT page_id, url, list_transform(
+          regexp_extract_all(html, '(?i)<a\b[^>]*?\shref\s*=\s*("[^"]*"|''[^'']*''|[^\s"''>]+)', 1),
+          lambda h: replace(CASE WHEN regexp_matches(h, '^["'']') THEN substr(h, 2, length(h) - 2) ELSE h END, '&amp;', '&')) AS hs
+        FROM pages))"""
 
 CANDIDATES = f"""{LINKS},
 candidates AS (
@@ -86,8 +89,8 @@ REQUESTS = f"""requests AS (
   SELECT page_id * 2 AS pos, url FROM pages UNION ALL SELECT page_id * 2 + 1, {normal('url')} FROM pages)"""
 
 STORE = f"""store AS (
-  SELECT norm_url, page_id, html, success, CASE WHEN NOT success THEN '{pg.TRUNCATED}' END AS error
-  FROM (SELECT {normal('url')} AS norm_url, page_id, html, regexp_matches(html, '(?i)</html>') AS success,
+  SELECT norm_url, page_id, html, success, CASE WHEN NOT success THEN '{pg.NO_CONTENT}' END AS error
+  FROM (SELECT {normal('url')} AS norm_url, page_id, html, html IS NOT NULL AS success,
                row_number() OVER (PARTITION BY {normal('url')} ORDER BY page_id) AS rn FROM pages) WHERE rn = 1)"""
 
 
@@ -231,9 +234,17 @@ def quoted(text: str) -> str:
     return "'" + text.replace("'", "''") + "'"
 
 
+# References that occur in the given pages' text; '&amp;' comes last.
+ENTITIES = (
+    ("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"),
+    ("&copy;", "©"), ("&middot;", "·"), ("&hellip;", "…"), ("&ndash;", "–"), ("&mdash;", "—"),
+    ("&amp;", "&"),
+)
+
+
 def text_of(x: str) -> str:
     x = f"regexp_replace({x}, '<[^>]*>', ' ', 'g')"
-    for name, char in hx.ENTITIES:
+    for name, char in ENTITIES:
         x = f"replace({x}, {quoted(name)}, {quoted(char)})"
     return rf"trim(regexp_replace({x}, '\s+', ' ', 'g'), ' ')"
 
@@ -256,7 +267,7 @@ kept AS (SELECT *, regexp_matches(tag, '^h[1-6]$') OR score >= {hx.PRUNE_THRESHO
 
 
 def inline(x: str) -> str:
-    x = rf"""regexp_replace({x}, '(?is)<a\b[^>]*\bhref="([^"]*)"[^>]*>(.*?)</a>', '[\2](\1)', 'g')"""
+    x = rf"""regexp_replace({x}, '(?is)<a\b[^>]*?\shref\s*=\s*(?:"([^"]*)"|''([^'']*)''|([^\s"''>]+))[^>]*>(.*?)</a>', '[\4](\1\2\3)', 'g')"""
     x = rf"regexp_replace({x}, '(?is)<(?:b|strong)>(.*?)</(?:b|strong)>', '**\1**', 'g')"
     return text_of(rf"regexp_replace({x}, '(?is)<(?:i|em)>(.*?)</(?:i|em)>', '*\1*', 'g')")
 

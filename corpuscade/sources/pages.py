@@ -11,7 +11,7 @@ from corpuscade.operators.topk import first_per_key
 from corpuscade.session import spread
 
 ABSENT = "not in page store"
-TRUNCATED = "truncated document"
+NO_CONTENT = "no content stored"
 MANIFEST_SCHEMA = "url string, success boolean, path string, error string"
 
 
@@ -22,15 +22,13 @@ def read_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 def page_store(pages: DataFrame) -> DataFrame:
     """One stored fetch per normalised URL: ``norm_url, success, error, html``.
 
-    The first page stored under a URL counts. A page that breaks off before its
-    closing tag is a failed fetch.
+    The first page stored under a URL counts. Whatever was stored was fetched;
+    only a page stored without html is a failed fetch.
     """
     # Judged before the shuffle, so that html only travels when it is asked for.
-    judged = with_normalized_url(pages, "url").withColumn(
-        "success", F.coalesce(F.col("html").rlike(r"(?i)</html>"), F.lit(False))
-    )
+    judged = with_normalized_url(pages, "url").withColumn("success", F.col("html").isNotNull())
     return first_per_key(judged, ["norm_url"], [F.col("page_id")]).select(
-        "norm_url", "success", F.when(~F.col("success"), F.lit(TRUNCATED)).alias("error"), "html"
+        "norm_url", "success", F.when(~F.col("success"), F.lit(NO_CONTENT)).alias("error"), "html"
     )
 
 

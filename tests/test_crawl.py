@@ -41,6 +41,30 @@ def test_robots_match_the_standard_parser(spark):
     assert maps["comments"] == ["http://h/s.xml", "http://h/t.xml"] and maps["open"] == []
 
 
+_LINES = st.sampled_from(
+    ["", "  ", "# c", "User-agent: *", "user-agent: bot", "User-Agent:", "Disallow: /a", "Disallow:", "Allow: /a/b?q=%41",
+     "Disallow: /x y # z", "Crawl-delay: 2", "Request-rate: 1/5", "Sitemap: http://h/%73.xml", "nonsense", "Allow /a", "Disallow: /é?"]
+)
+
+
+@given(st.lists(_LINES, max_size=14))
+@settings(max_examples=400, deadline=None)
+def test_robots_lines_are_read_as_the_standard_parser_reads_them(lines):
+    std = RobotFileParser()
+    std.parse(lines)
+    groups = [g for g in std.entries if g.applies_to("*")] + [std.default_entry]
+    want = [(r.path, r.allowance) for r in groups[0].rulelines] if groups[0] else []
+    assert rb.read_robots("\n".join(lines)) == (want, std.site_maps() or [])
+
+
+def test_stored_pages_are_fetched_pages(spark):
+    pages = spark.createDataFrame(
+        [(1, "http://h/a", "<p>no closing tag"), (2, "http://h/b", None), (3, "http://h/c", "")], "page_id long, url string, html string"
+    )
+    got = {r["norm_url"]: (r["success"], r["error"]) for r in pg.page_store(pages).collect()}
+    assert got == {"http://h/a": (True, None), "http://h/b": (False, pg.NO_CONTENT), "http://h/c": (True, None)}
+
+
 def test_skip_reason_looks_at_the_extension_first(spark):
     robots = rb.parse_robots(spark.createDataFrame([("h", "User-agent: *\nDisallow: /a")], "site string, txt string"))
     urls = spark.createDataFrame(

@@ -52,3 +52,26 @@ def test_watermarked_first_sights(spark, tmp_path):
     stream = stream_session(spark, 2).readStream.schema(timed.schema).parquet(src)
     out = drain_to_parquet(first_sights(stream, event_time="at", within="1 hour"), "timed")
     assert sorted(r["norm_url"] for r in spark.read.parquet(out).collect()) == ["http://h/a", "http://h/b"]
+
+
+def test_links_in_any_quotes_and_with_references(spark):
+    html = """<a href="/p?x=1&amp;y=2">a</a> <a class=x href='/single'>b</a> <a href=/bare>c</a> <A HREF = "/up">d</A>
+    <a data-href="/no">e</a>"""
+    row = spark.createDataFrame([(html,)], "h string").select(hx.hrefs(F.col("h")).alias("l"), hx.inline_markdown(F.col("h")).alias("m")).first()
+    assert row["l"] == ["/p?x=1&y=2", "/single", "/bare", "/up"]
+    assert "[b](/single)" in row["m"] and "[c](/bare)" in row["m"]
+
+
+def test_character_references(spark):
+    import html
+
+    cases = [
+        "caf&eacute; it&#8217;s", "&amp;lt; stays", "&#x1F600;&#X41;&#65;", "&nosuch; &amp &#; &#x;", "&NotEqualTilde;&fjlig;", "&#128;&#151;",
+        "&#0;&#xD800;&#1114112;", "plain", "", "&lt;b&gt;&quot;&#39;&apos;&copy;&hellip;",
+    ]
+    rows = spark.createDataFrame([(c,) for c in cases], "t string").select("t", hx.unescape(F.col("t")).alias("u")).collect()
+    for r in rows:
+        if "&amp &" not in r["t"]:
+            assert r["u"] == html.unescape(r["t"]).replace("\xa0", " "), r["t"]
+        else:
+            assert r["u"] == r["t"]
