@@ -118,13 +118,26 @@ def document_scan(spark, sf_dir):
 
 
 def index_roundtrip(spark, sf_dir):
-    """Build part of the corpus, add the rest by refresh, and read the chunks back."""
+    """Build part of the corpus from outdated texts, correct and complete it, remove some again."""
     base = fresh_dir(spark, "index-roundtrip")
     docs = read_documents(spark, sf_dir).select(F.col("source").alias("namespace"), "doc_id", "text", "lang")
-    index_store.create_index(docs.where("lang = 'en'"), base)
-    index_store.refresh_index(docs, base)
-    chunks = index_store.table(spark, base, "chunks")
-    return plain(chunks.select("namespace", *CHUNK_ID, "n_tokens", "n_terms", F.sha2("text", 256).alias("text_sha")))
+    old = F.when(F.col("doc_id") % 7 == 0, F.concat(F.lit("Outdated. "), F.col("text"))).otherwise(F.col("text"))
+    index_store.create_index(docs.where("lang = 'en'").withColumn("text", old), base)
+    index_store.refresh_index(docs, base, kind="list")
+    index_store.refresh_index(docs.limit(0), base, removed=docs.where("doc_id % 11 = 0"))
+    postings = index_store.table(spark, base, "postings")
+    df = index_store.table(spark, base, "terms").select("namespace", "term", "df")
+    seen = postings.join(df, ["namespace", "term"]).groupBy("namespace", *CHUNK_ID).agg(
+        F.count("*").alias("n_distinct"), F.sum("df").alias("sum_df")
+    )
+    chunks = index_store.table(spark, base, "chunks").join(seen, ["namespace", *CHUNK_ID], "left")
+    kind = index_store.table(spark, base, "registry").select("namespace", "kind")
+    return plain(
+        chunks.join(kind, "namespace").select(
+            "namespace", *CHUNK_ID, "n_tokens", "n_terms", F.sha2("text", 256).alias("text_sha"), "kind",
+            F.coalesce("n_distinct", F.lit(0)).alias("n_distinct"), F.coalesce("sum_df", F.lit(0)).alias("sum_df"),
+        )
+    )
 
 
 def index_registry(spark, sf_dir):

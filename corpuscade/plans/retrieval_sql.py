@@ -185,12 +185,16 @@ FROM chunks JOIN documents USING (doc_id) GROUP BY source""",
     "chunk_embed": f"""WITH RECURSIVE {chunk_ctes(chunking.CHUNK_SIZE)}, {embed_ctes('ce', 'chunks', 'doc_id, chunk_no')}
 SELECT doc_id, chunk_no, dim, round(CAST(v AS DOUBLE), 6) AS value FROM ce""",
     # Refresh adds a text only where the namespace does not hold it yet.
-    "index_roundtrip": f"""WITH RECURSIVE {chunk_ctes(chunking.CHUNK_SIZE)}
-SELECT source AS namespace, c.doc_id, chunk_no, n_tokens, CAST(len({terms('c.text')}) AS BIGINT) AS n_terms,
-       sha256(c.text) AS text_sha
-FROM chunks c JOIN documents d USING (doc_id)
-WHERE lang = 'en' OR NOT EXISTS (SELECT 1 FROM documents o
-  WHERE o.lang = 'en' AND o.source = d.source AND o.text = d.text)""",
+    "index_roundtrip": f"""WITH RECURSIVE {chunk_ctes(chunking.CHUNK_SIZE)},
+kept AS (SELECT source AS namespace, c.*, {terms('c.text')} AS ts FROM chunks c JOIN documents d USING (doc_id) WHERE doc_id % 11 <> 0),
+kinds AS (SELECT source AS namespace, CASE WHEN bool_or(lang = 'en') THEN 'vector' ELSE 'list' END AS kind FROM documents GROUP BY 1),
+posting AS (SELECT namespace, doc_id, chunk_no, unnest(list_distinct(ts)) AS term FROM kept),
+term AS (SELECT namespace, term, count(*) AS df FROM posting GROUP BY 1, 2),
+seen AS (SELECT namespace, doc_id, chunk_no, count(*) AS n_distinct, CAST(sum(df) AS BIGINT) AS sum_df
+         FROM posting JOIN term USING (namespace, term) GROUP BY 1, 2, 3)
+SELECT namespace, doc_id, chunk_no, n_tokens, CAST(len(ts) AS BIGINT) AS n_terms, sha256(text) AS text_sha, kind,
+       coalesce(n_distinct, 0) AS n_distinct, coalesce(sum_df, 0) AS sum_df
+FROM kept LEFT JOIN seen USING (namespace, doc_id, chunk_no) JOIN kinds USING (namespace)""",
     "index_registry": f"""WITH RECURSIVE {chunk_ctes(chunking.CHUNK_SIZE)},
 built AS (SELECT source AS namespace, count(*) AS n_chunks FROM chunks JOIN documents USING (doc_id) GROUP BY 1),
 asked AS (SELECT source AS namespace FROM documents UNION SELECT lang FROM documents)

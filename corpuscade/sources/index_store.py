@@ -3,8 +3,9 @@
 chunks     namespace, doc_id, chunk_no, n_tokens, n_terms, text, embedding
 postings   namespace, term, doc_id, chunk_no, tf, n_terms    range-laid by term
 terms      namespace, term, df, max_tf, min_terms
-documents  namespace, doc_id, text_sha
-registry   namespace, index_id, kind, n_chunks, n_terms      written last
+documents  namespace, doc_id, text_sha                       written last
+registry   namespace, index_id, kind, n_chunks, n_terms
+pending    namespace, term: terms a refresh is about to count anew
 """
 
 from __future__ import annotations
@@ -17,7 +18,6 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from corpuscade.functions import text as tx
 from corpuscade.session import materialize
 from corpuscade.operators.chunking import CHUNK_SIZE, chunk_documents
-from corpuscade.operators.skew import lookup_join
 from corpuscade.operators.embedding import embed_chunks, hashed_embedding
 
 SCHEMAS = {
@@ -26,6 +26,7 @@ SCHEMAS = {
     "postings": "term string, doc_id long, chunk_no int, tf long, n_terms int, namespace string",
     "terms": "term string, df long, max_tf long, min_terms int, namespace string",
     "documents": "doc_id long, text_sha string, namespace string",
+    "pending": "term string, namespace string",
     "registry": "index_id string, kind string, n_chunks long, n_terms long, namespace string",
 }
 KINDS = ("vector", "list")
@@ -67,47 +68,55 @@ def _write(df: DataFrame, base: str, name: str, mode: str) -> None:
     )
 
 
-def _write_chunks(docs: DataFrame, base: str, mode: str, chunk_size: int, overlap: int, embed) -> None:
-    chunks = chunk_documents(docs, chunk_size, overlap)
-    chunks = embed_chunks(chunks.withColumn("n_terms", F.size(tx.terms(F.col("text")))), embed=embed)
-    _write(chunks.select("doc_id", "chunk_no", "n_tokens", "n_terms", "text", "embedding", "namespace"), base, "chunks", mode)
+def _replaced(df: DataFrame, base: str, name: str, touched: DataFrame) -> None:
+    """Put ``df`` in the place of the touched namespaces' rows; one that ends up empty goes."""
+    spark = df.sparkSession
+    # What is read may be what is overwritten, so the new rows are written elsewhere first.
+    rows = materialize(df.select(*spark.createDataFrame([], SCHEMAS[name]).columns), f"index-{name}")
+    emptied = touched.join(rows.select("namespace").distinct(), "namespace", "left_anti")
+    everywhere = table(spark, base, name)
+    if emptied.isEmpty():
+        # Clustered by namespace and term or document, with a part for each few rows of one.
+        _write(rows, base, name, "overwrite")
+        return
+    others = everywhere.join(touched, "namespace", "left_anti")
+    rows.unionByName(materialize(others, f"index-{name}")).write.mode("overwrite").option(
+        "partitionOverwriteMode", "static"
+    ).partitionBy("namespace").parquet(f"{base}/{name}")
 
 
-def _write_lexical(spark: SparkSession, base: str, touched: DataFrame, kind: str) -> None:
-    """Postings, term statistics and registry rows of the touched namespaces."""
-    chunks = table(spark, base, "chunks").join(touched, "namespace", "left_semi")
-    postings = (
+def _chunked(docs: DataFrame, chunk_size: int, overlap: int, embed) -> DataFrame:
+    chunks = chunk_documents(docs.select("namespace", "doc_id", "text"), chunk_size, overlap)
+    return embed_chunks(chunks.withColumn("n_terms", F.size(tx.terms(F.col("text")))), embed=embed).select(
+        "doc_id", "chunk_no", "n_tokens", "n_terms", "text", "embedding", "namespace"
+    )
+
+
+def _postings(chunks: DataFrame) -> DataFrame:
+    return (
         chunks.select("namespace", "doc_id", "chunk_no", "n_terms", F.explode(tx.terms(F.col("text"))).alias("term"))
         .groupBy("namespace", "doc_id", "chunk_no", "n_terms", "term")
         .agg(F.count("*").alias("tf"))
     )
-    # Range layout over (term, chunk): a reader of few terms skips most row
-    # groups, and a term of very many chunks still spreads over many files.
-    laid = postings.repartitionByRange("namespace", "term", "doc_id", "chunk_no").sortWithinPartitions(
-        "namespace", "term", "doc_id", "chunk_no"
-    )
-    _write(laid.select("term", "doc_id", "chunk_no", "tf", "n_terms", "namespace"), base, "postings", "overwrite")
-    stats = (
-        table(spark, base, "postings")
-        .join(touched, "namespace", "left_semi")
-        .groupBy("namespace", "term")
-        .agg(F.count("*").alias("df"), F.max("tf").alias("max_tf"), F.min("n_terms").alias("min_terms"))
-    )
-    _write(stats.select("term", "df", "max_tf", "min_terms", "namespace"), base, "terms", "overwrite")
-    registry = chunks.groupBy("namespace").agg(
-        F.count("*").alias("n_chunks"), F.sum("n_terms").alias("n_terms")
+
+
+def _laid(postings: DataFrame) -> DataFrame:
+    """Range layout over (term, chunk): a term of very many chunks spreads over many files."""
+    order = ("namespace", "term", "doc_id", "chunk_no")
+    return postings.repartitionByRange(*order).sortWithinPartitions(*order)
+
+
+def _term_stats(postings: DataFrame) -> DataFrame:
+    return postings.groupBy("namespace", "term").agg(
+        F.count("*").alias("df"), F.max("tf").alias("max_tf"), F.min("n_terms").alias("min_terms")
     )
-    _write(
-        registry.select(
-            F.md5(F.concat_ws(":", F.col("namespace"), F.lit(kind))).alias("index_id"),
-            F.lit(kind).alias("kind"),
-            "n_chunks",
-            "n_terms",
-            "namespace",
-        ),
-        base,
-        "registry",
-        "overwrite",
+
+
+def _registered(chunks: DataFrame, kinds: DataFrame) -> DataFrame:
+    """Registry rows of the namespaces in ``kinds(namespace, kind)`` that have chunks."""
+    counts = chunks.groupBy("namespace").agg(F.count("*").alias("n_chunks"), F.sum("n_terms").alias("n_terms"))
+    return counts.join(kinds, "namespace").withColumn(
+        "index_id", F.md5(F.concat_ws(":", F.col("namespace"), F.col("kind")))
     )
 
 
@@ -119,14 +128,21 @@ def create_index(
     overlap: int = 0,
     embed=hashed_embedding,
 ) -> None:
-    """Build every namespace found in ``docs(namespace, doc_id, text)``, replacing old data."""
+    """Build every namespace found in ``docs(namespace, doc_id, text)``, replacing old data.
+
+    A document is its (namespace, doc_id); documents with equal texts are all indexed.
+    """
     if kind not in KINDS:
         raise ValueError(f"unknown index kind {kind!r}; choose from {KINDS}")
     spark = docs.sparkSession
-    docs = docs.select("namespace", "doc_id", "text")
-    _write(docs.select("doc_id", F.sha2("text", 256).alias("text_sha"), "namespace"), base, "documents", "overwrite")
-    _write_chunks(docs, base, "overwrite", chunk_size, overlap, embed)
-    _write_lexical(spark, base, docs.select("namespace").distinct(), kind)
+    _write(_chunked(docs, chunk_size, overlap, embed), base, "chunks", "overwrite")
+    touched = docs.select("namespace").distinct()
+    chunks = table(spark, base, "chunks").join(touched, "namespace", "left_semi")
+    _write(_laid(_postings(chunks)), base, "postings", "overwrite")
+    _write(_term_stats(table(spark, base, "postings").join(touched, "namespace", "left_semi")), base, "terms", "overwrite")
+    _write(_registered(chunks, touched.withColumn("kind", F.lit(kind))), base, "registry", "overwrite")
+    hashes = docs.select("doc_id", F.sha2("text", 256).alias("text_sha"), "namespace")
+    _write(hashes, base, "documents", "overwrite")
 
 
 def refresh_index(
@@ -136,19 +152,63 @@ def refresh_index(
     chunk_size: int = CHUNK_SIZE,
     overlap: int = 0,
     embed=hashed_embedding,
+    removed: DataFrame | None = None,
 ) -> None:
-    """Add the documents whose text a namespace does not hold yet."""
+    """Bring ``docs(namespace, doc_id, text)`` in, and take ``removed(namespace, doc_id)`` out.
+
+    A new document is added, one whose text changed is replaced, one that did not change is
+    left alone; a document in both tables is removed. A namespace keeps its kind; ``kind`` is
+    for new ones. Only chunks that come in are cut, embedded and read for terms, and only
+    terms of chunks that come or go are counted anew.
+
+    Every step replaces rows by (namespace, doc_id) and the text hashes, which tell what
+    is to be done, are written last: a refresh that broke off is made good by running it again.
+    """
     spark = docs.sparkSession
-    known = table(spark, base, "documents").select("namespace", "text_sha").distinct()
-    hashed = docs.select("namespace", "doc_id", "text", F.sha2("text", 256).alias("text_sha"))
-    # One text may make up much of a batch; its copies must not meet in one task.
-    new = lookup_join(hashed, known, ["namespace", "text_sha"], "left_anti")
-    new = materialize(new, "index-refresh")
-    if new.isEmpty():
+    key = ["namespace", "doc_id"]
+    known = table(spark, base, "documents")
+    hashed = docs.select(*key, "text", F.sha2("text", 256).alias("text_sha"))
+    if removed is not None:
+        hashed = hashed.join(removed.select(*key).distinct(), key, "left_anti")
+    old = known.select(*key, F.col("text_sha").alias("old_sha"), F.lit(True).alias("known"))
+    changed = hashed.join(old, key, "left").where(
+        F.col("known").isNull() | ~F.col("text_sha").eqNullSafe(F.col("old_sha"))
+    )
+    changed = materialize(changed.select(*key, "text", "text_sha"), "index-refresh")
+    out = changed.select(*key)
+    if removed is not None:
+        out = out.unionByName(known.select(*key).join(removed.select(*key), key, "left_semi"))
+    out = materialize(out.distinct(), "index-out")
+    if out.isEmpty():
         return
-    _write(new.select("doc_id", "text_sha", "namespace"), base, "documents", "append")
-    _write_chunks(new.select("namespace", "doc_id", "text"), base, "append", chunk_size, overlap, embed)
-    _write_lexical(spark, base, new.select("namespace").distinct(), kind)
+    touched = materialize(out.select("namespace").distinct(), "index-touched")
+
+    def staying(name: str) -> DataFrame:
+        return table(spark, base, name).join(touched, "namespace", "left_semi").join(out, key, "left_anti")
+
+    incoming = materialize(_chunked(changed, chunk_size, overlap, embed), "index-chunks")
+    fresh = materialize(_postings(incoming), "index-postings")
+    # Noted down first: a run that breaks off takes the old postings with it.
+    gone = table(spark, base, "postings").join(out, key, "left_semi")
+    stale = materialize(
+        gone.select("namespace", "term").unionByName(fresh.select("namespace", "term")).distinct(), "index-terms"
+    )
+    _write(stale, base, "pending", "append")
+    stale = table(spark, base, "pending").join(touched, "namespace", "left_semi")
+    _replaced(staying("chunks").unionByName(incoming), base, "chunks", touched)
+    _replaced(_laid(staying("postings").unionByName(fresh)), base, "postings", touched)
+    at = ["namespace", "term"]
+    terms = table(spark, base, "terms").join(touched, "namespace", "left_semi")
+    postings = table(spark, base, "postings").join(touched, "namespace", "left_semi")
+    stale = stale.distinct()
+    counted = _term_stats(postings.join(stale, at, "left_semi"))
+    _replaced(terms.join(stale, at, "left_anti").unionByName(counted), base, "terms", touched)
+    kinds = table(spark, base, "registry").select("namespace", F.col("kind").alias("had"))
+    kinds = touched.join(kinds, "namespace", "left").select("namespace", F.coalesce("had", F.lit(kind)).alias("kind"))
+    chunks = table(spark, base, "chunks").join(touched, "namespace", "left_semi")
+    _replaced(_registered(chunks, materialize(kinds, "index-kinds")), base, "registry", touched)
+    _replaced(staying("documents").unionByName(changed.select("doc_id", "text_sha", "namespace")), base, "documents", touched)
+    _replaced(table(spark, base, "pending").limit(0), base, "pending", touched)
 
 
 def registry(spark: SparkSession, base: str, asked: DataFrame) -> DataFrame:
@@ -156,11 +216,12 @@ def registry(spark: SparkSession, base: str, asked: DataFrame) -> DataFrame:
 
     An index exists when it is registered and its chunks can be read.
     """
+    wanted = asked.select("namespace").distinct()
     filled = (
-        table(spark, base, "chunks").groupBy("namespace").agg(F.count("*").alias("_rows")).where("_rows > 0")
+        table(spark, base, "chunks").join(wanted, "namespace", "left_semi").groupBy("namespace").agg(F.count("*").alias("_rows")).where("_rows > 0")
     )
     return (
-        asked.select("namespace").distinct()
+        wanted
         .join(table(spark, base, "registry"), "namespace", "left")
         .join(filled, "namespace", "left")
         .select(

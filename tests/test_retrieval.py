@@ -199,6 +199,64 @@ def test_index_refresh_registry_and_reload(spark, tmp_path):
     assert not rows["c"]["index_exists"] and rows["b"]["index_exists"]
 
 
+def _snapshot(spark, base, namespaces):
+    rows = {}
+    for name, order in (("chunks", ["doc_id", "chunk_no"]), ("postings", ["term", "doc_id", "chunk_no"]), ("terms", ["term"]),
+                        ("documents", ["doc_id"]), ("registry", ["kind"])):
+        df = index_store.table(spark, base, name)
+        rows[name] = sorted((r.asDict() for r in df.drop("embedding").collect()), key=lambda r: [r["namespace"], *(r[o] for o in order)])
+    return rows
+
+
+def test_refresh_equals_a_fresh_build_even_after_a_failure(spark, tmp_path, monkeypatch):
+    schema = "namespace string, doc_id long, text string"
+    first = [("a", 1, "alpha beta gamma delta."), ("a", 2, "alpha beta."), ("b", 3, "one two.")]
+    after = [("a", 1, "omega sigma."), ("a", 2, "alpha beta."), ("a", 4, "omega sigma."), ("c", 6, "alpha. new words.")]
+    gone = spark.createDataFrame([("b", 3), ("b", 99), ("zz", 1)], "namespace string, doc_id long")
+    fresh = str(tmp_path / "fresh")
+    index_store.create_index(spark.createDataFrame(after, schema), fresh, kind="list")
+    want = _snapshot(spark, fresh, "ac")
+    new = spark.createDataFrame(after, schema)
+    write = index_store._replaced
+    for fail_at in (None, "postings", "documents"):
+        base = str(tmp_path / f"refreshed-{fail_at}")
+        index_store.create_index(spark.createDataFrame(first, schema), base, kind="list")
+
+        def breaking(df, at, name, touched, stop=fail_at):
+            if name == stop:
+                raise OSError("lost")
+            write(df, at, name, touched)
+
+        monkeypatch.setattr(index_store, "_replaced", breaking)
+        if fail_at:
+            try:
+                index_store.refresh_index(new, base, kind="list", removed=gone)
+            except OSError:
+                monkeypatch.setattr(index_store, "_replaced", write)
+        index_store.refresh_index(new, base, kind="list", removed=gone)
+        assert _snapshot(spark, base, "ac") == want, fail_at
+
+
+def test_kind_stays_when_refreshed(spark, tmp_path):
+    base = str(tmp_path / "kind")
+    schema = "namespace string, doc_id long, text string"
+    index_store.create_index(spark.createDataFrame([("a", 1, "x y.")], schema), base, kind="list")
+    index_store.refresh_index(spark.createDataFrame([("a", 1, "z."), ("b", 1, "q.")], schema), base)
+    kinds = {r["namespace"]: r["kind"] for r in index_store.table(spark, base, "registry").collect()}
+    assert kinds == {"a": "list", "b": "vector"}
+
+
+def test_plans_agree_on_terms_that_weigh_nothing(spark):
+    n = 10_000_000
+    chunks = spark.createDataFrame([(1, 0, 3, "x"), (2, 0, 3, "x")], "doc_id long, chunk_no int, n_terms int, text string")
+    postings = spark.createDataFrame([("every", 1, 0, 1, 3), ("every", 2, 0, 1, 3)], "term string, doc_id long, chunk_no int, tf long, n_terms int")
+    terms = spark.createDataFrame([("every", n, 1, 3)], "term string, df long, max_tf long, min_terms int")
+    index = index_store.Index("n", "vector", n, 3 * n, chunks, postings, terms)
+    asked = spark.createDataFrame([(0, "every")], "q_id long, text string")
+    scan, pruned = (sorted(tuple(r) for r in lexical.bm25_top_k(index, asked, 5, question_block=b).collect()) for b in (8192, 0))
+    assert scan == pruned and len(scan) == 2
+
+
 def test_salted_join_equals_plain_join(spark):
     facts = spark.range(3000).select(
         F.when(F.col("id") % 3 == 0, F.lit(7)).otherwise(F.col("id") % 500).alias("k"), F.col("id").alias("f")
