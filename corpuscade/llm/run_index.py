@@ -20,6 +20,8 @@ from corpuscade.llm.repeats import Spec, merge, repeated_spans, text_keys
 from corpuscade.session import materialize
 
 WINDOW, SEED = 400, 64
+#: Texts with one anchor that are gathered at once.
+HOT = 1_800
 #: Bytes of contexts in one index; a group of one anchor is never divided.
 CHUNK = 512 << 10
 END = b"\xff"  # in no UTF-8 text
@@ -154,14 +156,14 @@ def different_texts(docs: DataFrame) -> DataFrame:
     return _identified(docs).groupBy("t1", "t2").agg(F.min("_id").alias("_id"), F.count("*").alias("ord"))
 
 
-def repeats(docs: DataFrame, window: int = WINDOW, texts: DataFrame | None = None) -> DataFrame:
+def repeats(docs: DataFrame, window: int = WINDOW, hot: int = HOT, texts: DataFrame | None = None) -> DataFrame:
     """(t1, t2, spans, kept): texts that hold a string of ``window`` bytes which also starts
     elsewhere; ``spans`` are the maximal runs of bytes so covered, ``kept`` the rest.
 
     Each different text is looked at once, but counts as often as it occurs. Texts that are
     repeated as a whole need no index to see it: see ``removed``.
     """
-    spec = Spec(window, SEED, by_words=False)
+    spec = Spec(window, SEED, by_words=False, hot=hot)
     texts = different_texts(docs) if texts is None else texts
     found = repeated_spans(
         _identified(docs), texts, spec, find, CHUNK,
@@ -188,7 +190,7 @@ def repeats(docs: DataFrame, window: int = WINDOW, texts: DataFrame | None = Non
     return found.mapInArrow(finish, "t1 long, t2 long, spans array<array<long>>, kept binary")
 
 
-def removed(docs: DataFrame, window: int = WINDOW) -> DataFrame:
+def removed(docs: DataFrame, window: int = WINDOW, hot: int = HOT) -> DataFrame:
     """For each row: doc_id, t1, t2, n_bytes, n_removed, n_spans, kept_sha256, and ``kept``,
     the remaining bytes where some but not all are gone (else null).
 
@@ -201,7 +203,7 @@ def removed(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     narrow = materialize(docs.select("doc_id", *text_keys(), size, sha), "texts")
     named = narrow.select(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("_id"), "t1", "t2")
     texts = materialize(named.groupBy("t1", "t2").agg(F.min("_id").alias("_id"), F.count("*").alias("ord")), "different")
-    found = repeats(docs, window, texts).select(
+    found = repeats(docs, window, hot, texts).select(
         "t1", "t2", F.size("spans").alias("spans"), "kept", F.octet_length("kept").alias("rest")
     )
     # One narrow row for each different text, so a group of copies is joined by adaptive splits.
@@ -223,7 +225,7 @@ def cleaned(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     an empty text; a text without repeats stays as it is, null included.
     """
     texts = materialize(different_texts(docs), "different")
-    found = repeats(docs, window, texts).select("t1", "t2", "kept")
+    found = repeats(docs, window, texts=texts).select("t1", "t2", "kept")
     known = texts.select("t1", "t2", (F.col("ord") > 1).alias("_copied")).join(found, ["t1", "t2"], "left")
     known = known.where("_copied or kept is not null").withColumnsRenamed({"t1": "_t1", "t2": "_t2", "kept": "_kept"})
     t1, t2 = text_keys()

@@ -16,6 +16,8 @@ from corpuscade.llm.repeats import Spec, cut, merge, repeated_spans, text_keys
 from corpuscade.session import materialize
 
 WINDOW, SEED = 50, 8
+#: Texts with one anchor that are gathered at once.
+HOT = 1_800
 #: Contexts of an anchor that are extended against each other; more are first told apart
 #: by a longer seed.
 TOGETHER = 64
@@ -99,7 +101,7 @@ def _kept(units: list[bytes], spans: np.ndarray) -> list[bytes]:
     return [w for a, b in zip(cuts[::2], cuts[1::2]) for w in units[a:b]]
 
 
-def removed(docs: DataFrame, window: int = WINDOW) -> DataFrame:
+def removed(docs: DataFrame, window: int = WINDOW, hot: int = HOT) -> DataFrame:
     """For each row: doc_id, n_words, n_removed, kept_sha256, and ``kept``, the remaining words
     where some but not all are gone (else null).
 
@@ -109,7 +111,7 @@ def removed(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     empty texts have no words. An empty table gives an empty table; other columns are not
     looked at. doc_id is a whole number.
     """
-    spec = Spec(window, SEED, by_words=True)
+    spec = Spec(window, SEED, by_words=True, hot=hot)
 
     def make() -> Callable[[pa.RecordBatch], dict]:
         def step(batch: pa.RecordBatch) -> dict:
