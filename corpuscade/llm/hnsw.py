@@ -21,6 +21,8 @@ from corpuscade.session import materialize
 SHARD_ROWS, LEAST_SHARDS, QUERY_BLOCK = 50_000, 6, 2_048
 LINKS, SHRINK, WIDTH_BUILD, WIDTH_SEARCH = 32, 16, 64, 128
 BATCH, AT_ONCE = 256, 4
+#: The longest vectors of a shard, where every search starts, too.
+LONGEST = 32
 K = 20
 
 
@@ -123,6 +125,8 @@ def _link_back(vectors: np.ndarray, links: np.ndarray, rows: np.ndarray) -> None
     """Link what the new ``rows`` link to back to them, and choose anew where it gets crowded."""
     to, new = links[rows].ravel(), np.repeat(rows, links.shape[1])
     new, to = new[to >= 0], to[to >= 0]
+    if not len(to):
+        return
     score = np.einsum("kd,kd->k", vectors[new], vectors[to])
     order = np.lexsort((-score, to))
     new, to = new[order], to[order]
@@ -187,10 +191,13 @@ def descend(vectors: np.ndarray, layers: list[np.ndarray], queries: np.ndarray,
 def search(vectors: np.ndarray, layers: list[np.ndarray], queries: np.ndarray, width: int = WIDTH_SEARCH) -> np.ndarray:
     """Up to ``width`` nodes for each query (not raised), best first, -1 for none."""
     queries = np.concatenate([queries, np.zeros((len(queries), 1), np.float32)], 1)
+    # The longest vectors (of least added component) are where large inner products are.
+    longest = np.argsort(vectors[:, -1], kind="stable")[:LONGEST].astype(np.int32)
     found = []
     for at in range(0, len(queries), BATCH):
         part = queries[at : at + BATCH]
         entry = descend(vectors, layers[1:], part, len(vectors))
+        entry = np.concatenate([entry, np.broadcast_to(longest, (len(part), len(longest)))], 1)
         found.append(beam(vectors, layers[0], part, entry, width)[0])
     return np.concatenate(found) if found else np.empty((0, width), np.int32)
 
@@ -198,7 +205,7 @@ def search(vectors: np.ndarray, layers: list[np.ndarray], queries: np.ndarray, w
 def usable(df: DataFrame) -> DataFrame:
     """(vec_id, v): vectors that take part. Null ids and vectors, null or non-finite components,
     zero vectors, and those of another length than most do not."""
-    v = F.transform("embedding", lambda x: x.cast("float"))
+    v = F.transform("embedding", lambda x: x.cast("double"))
     fine = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf")))) & F.exists("v", lambda x: x != 0)
     rows = df.select(F.col("vec_id").cast("long").alias("vec_id"), v.alias("v")).where(F.col("vec_id").isNotNull() & F.col("v").isNotNull() & fine)
     length = rows.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), "n").first()
@@ -226,7 +233,7 @@ def index(rows: DataFrame, k: int = K) -> DataFrame:
     def make(group: pa.Table) -> pa.Table:
         group = group.sort_by([("k2", "ascending"), ("k1", "ascending")])  # hashes: a random order
         v = group.column("v").combine_chunks()
-        vectors = v.flatten().to_numpy(zero_copy_only=False).astype(np.float32).reshape(len(v), -1)
+        vectors = v.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(v), -1)
         links = build(raised(vectors))
         ids = group.column("ids").combine_chunks()
         ends = np.cumsum([len(x) for x in ids]).astype(np.int64)
@@ -260,16 +267,15 @@ def nearest(rows: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
         out: list[np.ndarray] = []
         if len(shard) and len(block):
             row = shard.to_pylist()[0]
-            vectors = np.frombuffer(row["vectors"], np.float32).reshape(row["n"], -1)
+            wide = np.frombuffer(row["vectors"], np.float64).reshape(row["n"], -1)
             flat = np.frombuffer(row["links"], np.int32).reshape(-1, LINKS)
             edges = np.cumsum([0, *layer_sizes(row["n"])])
             layers = [flat[a:b] for a, b in zip(edges, edges[1:])]
             ids, ends = np.frombuffer(row["ids"], np.int64), np.frombuffer(row["ends"], np.int64)
             v = block.column("v").combine_chunks()
-            q = v.flatten().to_numpy(zero_copy_only=False).astype(np.float32).reshape(len(v), -1)
-            found = search(raised(vectors), layers, q)
-            wide = vectors.astype(np.float64)
-            for own, query, nodes in zip(block.column("vec_id").to_pylist(), q.astype(np.float64), found):
+            q = v.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(v), -1)
+            found = search(raised(wide), layers, q.astype(np.float32))
+            for own, query, nodes in zip(block.column("vec_id").to_pylist(), q, found):
                 nodes = nodes[nodes >= 0]
                 scores = (wide[nodes] * query).sum(1)
                 # The k + 1 best nodes have the k best rows, each node bringing all ids that can count.

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -131,7 +132,7 @@ def repeated_windows(
     return out
 
 
-def find(rows: list[dict]) -> list[list[tuple[int, int]]]:
+def find(rows: list[dict], window: int = WINDOW) -> list[list[tuple[int, int]]]:
     """Repeated windows of contexts gathered by anchor; equal contexts are indexed once."""
     slots: dict[tuple, int] = {}
     weights: list[int] = []
@@ -141,7 +142,7 @@ def find(rows: list[dict]) -> list[list[tuple[int, int]]]:
             weights.append(0)
         weights[slot] += row["ord"] * (len(row["starts"]) // 4)
     keys = list(slots)
-    found = repeated_windows([k[0] for k in keys], [k[1] for k in keys], weights)
+    found = repeated_windows([k[0] for k in keys], [k[1] for k in keys], weights, window)
     return [found[slots[row["ctx"], row["live"], row["pin"]]] for row in rows]
 
 
@@ -166,7 +167,7 @@ def repeats(docs: DataFrame, window: int = WINDOW, hot: int = HOT, texts: DataFr
     spec = Spec(window, SEED, by_words=False, hot=hot)
     texts = different_texts(docs) if texts is None else texts
     found = repeated_spans(
-        _identified(docs), texts, spec, find, CHUNK,
+        _identified(docs), texts, spec, partial(find, window=window), CHUNK,
         flag=(F.col("low") != F.col("high")) | (F.col("most") > 1),
         whole=lambda: F.col("_ord") > 1,
         total=F.sum(F.col("ord") * F.floor(F.octet_length("starts") / 4)),

@@ -247,7 +247,7 @@ def test_nearest_neighbours(spark):
     df = hnsw.usable(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))
     usable = sorted(r["vec_id"] for r in df.collect())
     assert usable == [i for i in range(3000) if i not in (7, 8, 9, 11)]
-    ids, kept = np.array(usable), v[usable].astype(np.float32).astype(float)
+    ids, kept = np.array(usable), v[usable]
     found = {}
     for r in hnsw.nearest(df, df.where("vec_id % 20 = 0")).collect():
         found.setdefault(r["query_id"], {})[r["rank"]] = (r["vec_id"], r["score"])
