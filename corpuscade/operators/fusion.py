@@ -7,8 +7,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, functions as F
 
 from corpuscade.functions import text as tx
-from corpuscade.operators.skew import MAX_BROADCAST_ROWS, salted_join
+from corpuscade.operators.skew import fits_broadcast, lookup_join, salted_join
 from corpuscade.operators.topk import CHUNK_ID, top_k
+from corpuscade.session import materialize
 
 # Candidate pool, passages handed on, and the rank constant.
 POOL_SIZE = 10
@@ -43,32 +44,27 @@ def overlap_score(question: Column, passage: Column) -> Column:
     return share(q, p) + share(tx.bigrams(q), tx.bigrams(p))
 
 
-def with_texts(candidates: DataFrame, chunks: DataFrame, n_candidates: int) -> DataFrame:
-    """Add the chunk text to candidates, of which there are at most ``n_candidates``."""
-    texts = chunks.select(*CHUNK_ID, F.col("text").alias("passage"))
-    if n_candidates <= MAX_BROADCAST_ROWS:
-        return texts.join(F.broadcast(candidates), list(CHUNK_ID))
-    return salted_join(candidates, texts, list(CHUNK_ID))
-
-
 def rerank(
     candidates: DataFrame,
     questions: DataFrame,
     chunks: DataFrame,
-    n_questions: int,
     k: int = FINAL_SIZE,
-    pool: int = POOL_SIZE,
     scorer=overlap_score,
 ) -> DataFrame:
     """Best ``k`` candidates per question by a joint (question, passage) score.
 
     ``scorer`` maps the two text Columns to a double Column; a cross-encoder goes
-    in as an iterator pandas UDF.
+    in as an iterator pandas UDF. Candidates are written down as ids first: they are
+    broadcast to the chunks only if they measure small, and question texts join last.
     """
-    with_question = candidates.select("q_id", *CHUNK_ID).join(
-        questions.select("q_id", F.col("text").alias("question")), "q_id"
-    )
-    full = with_texts(with_question, chunks, n_questions * pool)
+    ids = materialize(candidates.select("q_id", *CHUNK_ID), "candidates")
+    texts = chunks.select(*CHUNK_ID, F.col("text").alias("passage"))
+    if fits_broadcast(ids):
+        found = texts.join(F.broadcast(ids), list(CHUNK_ID))
+    else:
+        found = salted_join(ids, texts, list(CHUNK_ID))
+    asked = questions.select("q_id", F.col("text").alias("question"))
+    full = lookup_join(found, asked, ["q_id"])
     scored = full.select(
         "q_id", *CHUNK_ID, "passage", F.round(scorer(F.col("question"), F.col("passage")), 6).alias("score")
     )

@@ -75,9 +75,7 @@ def hybrid_pool(index: index_store.Index, questions: DataFrame) -> DataFrame:
 
 def reranked(index: index_store.Index, questions: DataFrame) -> DataFrame:
     """The whole retrieval path: two pools, fusion, rerank; with passages."""
-    return fusion.rerank(
-        hybrid_pool(index, questions), questions, index.chunks, n_questions=questions.count()
-    )
+    return fusion.rerank(hybrid_pool(index, questions), questions, index.chunks)
 
 
 def sentence_split(spark, sf_dir):
