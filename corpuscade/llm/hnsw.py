@@ -21,6 +21,8 @@ from corpuscade.session import materialize
 SHARD_ROWS, LEAST_SHARDS, QUERY_BLOCK = 50_000, 6, 2_048
 LINKS, SHRINK, WIDTH_BUILD, WIDTH_SEARCH = 32, 16, 64, 128
 BATCH, AT_ONCE = 256, 4
+#: The first nodes of a layer choose among all before them, in one matrix product; later ones search.
+EXACT_ROWS = 8_192
 #: The longest vectors of a shard, where every search starts, too.
 LONGEST = 32
 K = 20
@@ -100,7 +102,7 @@ def choose(vectors: np.ndarray, ids: np.ndarray, scores: np.ndarray, most: int)
     """
     b, c = ids.shape
     near = vectors[np.maximum(ids, 0)]
-    between = np.einsum("bid,bjd->bij", near, near)
+    between = near @ near.transpose(0, 2, 1)
     taken, valid = np.zeros((b, c), bool), ids >= 0
     for k in range(c):
         hidden = ((between[:, k] > scores[:, k, None]) & taken).any(1)
@@ -116,8 +118,13 @@ def _exact(vectors: np.ndarray, rows: np.ndarray, among: int, width: int) -> tup
     """The best of the first ``among`` vectors for each of ``rows``, itself left out."""
     scores = vectors[rows] @ vectors[:among].T
     scores[rows[:, None] == np.arange(among)] = -np.inf
-    order = np.argsort(-scores, 1, kind="stable")[:, :width]
-    scores = np.take_along_axis(scores, order, 1)
+    if among > width:
+        order = np.argpartition(-scores, width - 1, 1)[:, :width]
+        scores = np.take_along_axis(scores, order, 1)
+    else:
+        order = np.broadcast_to(np.arange(among), scores.shape)
+    best = np.argsort(-scores, 1, kind="stable")
+    order, scores = np.take_along_axis(order, best, 1), np.take_along_axis(scores, best, 1)
     return np.where(np.isfinite(scores), order, -1).astype(np.int32), scores
 
 
@@ -125,6 +132,9 @@ def _link_back(vectors: np.ndarray, links: np.ndarray, rows: np.ndarray) -> None
     """Link what the new ``rows`` link to back to them, and choose anew where it gets crowded."""
     to, new = links[rows].ravel(), np.repeat(rows, links.shape[1])
     new, to = new[to >= 0], to[to >= 0]
+    # Two new nodes that chose each other are linked both ways already; a link stands once.
+    lacks = ~(links[to] == new[:, None]).any(1)
+    new, to = new[lacks], to[lacks]
     if not len(to):
         return
     score = np.einsum("kd,kd->k", vectors[new], vectors[to])
@@ -136,9 +146,14 @@ def _link_back(vectors: np.ndarray, links: np.ndarray, rows: np.ndarray) -> None
     nodes = to[first]
     adds = np.full((len(nodes), links.shape[1]), -1, np.int32)
     adds[np.searchsorted(nodes, to[near]), nth[near]] = new[near]
+    # Nodes with like numbers of additions go together: most have few, and blocks stay narrow.
+    counts = (adds >= 0).sum(1)
+    by_count = np.argsort(counts, kind="stable")
+    nodes, adds, counts = nodes[by_count], adds[by_count], counts[by_count]
     for at in range(0, len(nodes), BATCH):
         part = nodes[at : at + BATCH]
-        ids = np.concatenate([links[part], adds[at : at + BATCH]], 1)
+        wide = counts[at : at + BATCH].max()
+        ids = np.concatenate([links[part], adds[at : at + BATCH, :wide]], 1)
         scores = np.where(ids >= 0, np.einsum("bcd,bd->bc", vectors[np.maximum(ids, 0)], vectors[part]), -np.inf)
         order = np.argsort(-scores, 1, kind="stable")
         links[part] = choose(vectors, np.take_along_axis(ids, order, 1), np.take_along_axis(scores, order, 1), links.shape[1])
@@ -162,7 +177,7 @@ def build(vectors: np.ndarray) -> list[np.ndarray]:
         at = 0
         while at < size:
             rows = np.arange(at, min(size, at + min(BATCH, max(BATCH // 4, at))))
-            if at + len(rows) <= 2 * BATCH:
+            if at + len(rows) <= EXACT_ROWS:
                 ids, scores = _exact(vectors, rows, at + len(rows), WIDTH_BUILD)
             else:
                 entry = descend(vectors, layers, vectors[rows], at)

@@ -426,3 +426,18 @@ def test_mixing_meets_its_targets(spark):
     df = mixing.repetitions(spark.createDataFrame(rows, "doc_id long, text string, source string"))
     for r in df.groupBy("source").agg(F.first("target").alias("t"), F.sum(F.col("size") * F.col("copies")).alias("n")).collect():
         assert abs(r["n"] / r["t"] - 1) < 0.1
+
+
+def test_small_world_links_and_results_stand_once():
+    vectors = np.random.default_rng(5).normal(size=(1_500, 16))
+    raised = hnsw.raised(vectors)
+    layers = hnsw.build(raised)
+    for links in layers:
+        for node, row in enumerate(links):
+            row = row[row >= 0].tolist()
+            assert len(set(row)) == len(row) and node not in row
+    queries = vectors[:60].astype(np.float32)
+    found = hnsw.search(raised, layers, queries)
+    assert all(len(set(f[f >= 0].tolist())) == (f >= 0).sum() for f in found)
+    best = np.argsort(-(queries @ vectors.T), 1)[:, :20]
+    assert np.mean([len(set(a) & set(b)) / 20 for a, b in zip(best, found[:, :20])]) >= 0.9
