@@ -16,8 +16,7 @@ from corpuscade.operators import frontier, robots as rb, sitemaps as sm
 from corpuscade.operators.eligibility import with_skip_reason
 from corpuscade.operators.topk import first_per_key
 from corpuscade.plans import derived
-from corpuscade.plans.retrieval import plain
-from corpuscade.session import fresh_dir, materialize
+from corpuscade.session import fresh_dir, materialize, plain
 from corpuscade.sources import pages as pg
 
 MAX_PAGES = 10
@@ -63,23 +62,30 @@ def url_dedup(spark, sf_dir):
 
 def crawl_fetch(spark, sf_dir):
     pages = pg.read_pages(spark, sf_dir)
-    store = pg.page_store(pages).drop("html")
+    store = pg.page_store(pages)
     return plain(pg.fetch(derived.candidates(pages), store).select("page_id", "pos", "url", "success", "error"))
 
 
-def page_sink(spark, sf_dir):
-    """Crawl the request list into a folder and read the winners back."""
+def crawled_pages(spark, sf_dir):
+    """Crawl the request list into a folder, in two crawls, and read what both left there."""
     pages = pg.read_pages(spark, sf_dir)
-    fetched = pg.fetch(derived.requests(pages), pg.page_store(pages))
-    winners = pg.to_markdown(pg.sink_winners(fetched, "pos"))
+    fetched = materialize(pg.fetch(derived.requests(pages), pg.page_store(pages)), "fetched")
+    half = fetched.agg(F.expr("cast(max(pos) / 2 as long)").alias("p")).first()["p"] or 0
     out = fresh_dir(spark, "pages")
-    pg.write_pages(winners, out)
-    return spark.read.schema("slug string, url string, markdown string").parquet(out)
+    for crawl_id, part in (("1", F.col("pos") <= half), ("2", F.col("pos") > half)):
+        winners = pg.sink_winners(fetched.where(part), "pos")
+        pg.write_pages(pg.to_markdown(pg.with_html(winners, pages)), out, crawl_id)
+    return pg.read_written(spark, out)
+
+
+def page_sink(spark, sf_dir):
+    """What a sink holds after two crawls: every page, the later crawl's where both met it."""
+    return crawled_pages(spark, sf_dir)
 
 
 def crawl_manifest(spark, sf_dir):
     pages = pg.read_pages(spark, sf_dir)
-    fetched = pg.fetch(derived.candidates(pages), pg.page_store(pages).drop("html"))
+    fetched = pg.fetch(derived.candidates(pages), pg.page_store(pages))
     path = pg.write_manifest(pg.manifest(fetched, OUTPUT_DIR), fresh_dir(spark, "crawl"))
     return pg.read_manifest(spark, path)
 
@@ -99,7 +105,7 @@ def crawl_list(spark, sf_dir):
     pages = pg.read_pages(spark, sf_dir)
     listed = derived.requests(pages).withColumn("site", url_domain(F.col("url")))
     allowed = with_skip_reason(listed, _robots(pages)).where("reason is null")
-    fetched = pg.fetch(allowed, pg.page_store(pages).drop("html"))
+    fetched = pg.fetch(allowed, pg.page_store(pages))
     return pg.manifest(fetched, OUTPUT_DIR)
 
 
@@ -107,7 +113,7 @@ def crawl_report(spark, sf_dir):
     """Attempted, written and skipped counts per site and over all (site null)."""
     pages = pg.read_pages(spark, sf_dir)
     judged = _judged_requests(pages)
-    fetched = pg.fetch(judged, pg.page_store(pages).drop("html"))
+    fetched = pg.fetch(judged, pg.page_store(pages))
     tried = F.col("reason").isNull()
     return fetched.rollup("site").agg(
         F.count_if(tried).alias("urls_attempted"),
@@ -187,7 +193,7 @@ def sitemap_discovery(spark, sf_dir):
 
 
 def _walk(pages: DataFrame, sites: DataFrame):
-    status = derived.graph_status(pages, pg.page_store(pages).drop("html"))
+    status = derived.graph_status(pages, pg.page_store(pages))
     return frontier.crawl_breadth_first(
         sites,
         materialize(derived.link_graph(pages), "links"),

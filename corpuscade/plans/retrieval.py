@@ -6,13 +6,13 @@ from __future__ import annotations
 import hashlib
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
-from pyspark.sql.types import FloatType, IntegerType
 
 from corpuscade.functions import text as tx
 from corpuscade.operators import chunking, fusion, lexical, vectors
 from corpuscade.operators.embedding import embed_chunks
 from corpuscade.operators.topk import CHUNK_ID
-from corpuscade.session import app_dir, fresh_dir, materialize
+from corpuscade.session import app_dir, fresh_dir, materialize, plain
+from corpuscade.plans import crawling
 from corpuscade.sources import index_store
 from corpuscade.sources.documents import read_documents
 
@@ -21,17 +21,6 @@ GATE_THRESHOLD = 1.0
 RATE_THRESHOLDS = [0.5, 0.75, 1.0, 1.25, 1.5]
 
 
-def plain(df: DataFrame) -> DataFrame:
-    """Widen 32-bit numbers, so results compare across engines by value and type."""
-    wide = {IntegerType: "long", FloatType: "double"}
-    return df.select(
-        *[
-            F.col(f.name).cast(wide[type(f.dataType)]) if type(f.dataType) in wide else F.col(f.name)
-            for f in df.schema.fields
-        ]
-    )
-
-
 def benchmark_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/benchmark.parquet").select(
         F.col("item_id").alias("q_id"), "text"
@@ -78,6 +67,22 @@ def reranked(index: index_store.Index, questions: DataFrame) -> DataFrame:
     return fusion.rerank(hybrid_pool(index, questions), questions, index.chunks)
 
 
+def retrieve(index: index_store.Index, questions: DataFrame) -> DataFrame:
+    """Three passages for each question, in the way the index's kind asks for."""
+    if index.kind == "list":
+        return lexical.list_top_k(index, questions, fusion.FINAL_SIZE)
+    return reranked(index, questions).drop("passage")
+
+
+def crawl_answers(spark, sf_dir):
+    """From stored pages to passages: crawl, clean, write, index, retrieve."""
+    written = crawling.crawled_pages(spark, sf_dir)
+    number = F.conv(F.substring(F.md5("slug"), 1, 15), 16, 10).cast("long")
+    docs = written.select(number.alias("doc_id"), F.col("markdown").alias("text"))
+    index = index_store.create_or_load(docs, fresh_dir(spark, "crawl-index"), "crawl")
+    return plain(retrieve(index, benchmark_questions(spark, sf_dir)))
+
+
 def sentence_split(spark, sf_dir):
     docs = read_documents(spark, sf_dir)
     rows = docs.select("doc_id", F.posexplode(tx.sentences(F.col("text"))).alias("pos", "s"))
@@ -195,19 +200,24 @@ def rank_shift(spark, sf_dir):
 
 
 def vector_neighbours(spark, sf_dir):
-    """Exact nearest vectors of every row of ``embeddings``, itself included."""
+    """Exact nearest vectors of the question rows of ``embeddings``, themselves included."""
     table = _unit_embeddings(spark, sf_dir)
-    questions = table.select(F.col("vec_id").alias("q_id"), "embedding")
+    questions = _vector_questions(table)
     return plain(vectors.exact_top_k(table, questions, fusion.POOL_SIZE, ids=("vec_id",)))
 
 
 def ann_topk(spark, sf_dir):
-    """Approximate neighbours of every row of ``embeddings``."""
+    """Approximate neighbours of the question rows of ``embeddings``."""
     table = _unit_embeddings(spark, sf_dir)
-    questions = table.select(F.col("vec_id").alias("q_id"), "embedding")
+    questions = _vector_questions(table)
     return plain(vectors.approximate_top_k(table, questions, fusion.POOL_SIZE, ids=("vec_id",)))
 
 
+def _vector_questions(table: DataFrame) -> DataFrame:
+    """The stated question set of a search: rows whose id is divisible by 100."""
+    return table.where("vec_id % 100 = 0").select(F.col("vec_id").alias("q_id"), "embedding")
+
+
 def _unit_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     table = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding")
     norm = F.sqrt(
@@ -221,7 +231,7 @@ def _unit_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        document_scan, sentence_split, chunk_pack, chunk_overlap, chunk_stats, chunk_embed,
+        document_scan, crawl_answers, sentence_split, chunk_pack, chunk_overlap, chunk_stats, chunk_embed,
         index_roundtrip, index_registry, vector_topk, vector_neighbours, bm25_topk, hybrid_rrf,
         list_retrieve, rerank_top3, rag_context, retrieval_gate, invocation_rate, rank_shift, ann_topk,
     )

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from corpuscade.operators import chunking, fusion, lexical, vectors
-from corpuscade.plans import retrieval
+from corpuscade.plans import crawling_sql, retrieval
 
 SENTENCES = r"regexp_extract_all(text, '[^.!?\n]*[.!?\n]+|[^.!?\n]+')"
 
@@ -164,7 +164,7 @@ def _ann(tables: int = 8, bits: int = 4, dims: int = 64) -> str:
     )
     return f"""WITH {_UNIT}, signed AS ({signed}),
 near AS (SELECT DISTINCT a.vec_id AS q_id, b.vec_id, round(list_dot_product(a.e, b.e), 6) AS score
-  FROM signed a JOIN signed b USING (tab, bucket)),
+  FROM signed a JOIN signed b USING (tab, bucket) WHERE a.vec_id % 100 = 0),
 one AS (SELECT q_id, vec_id, max(score) AS score FROM near GROUP BY ALL)
 {_vec_ranked('one')}"""
 
@@ -203,7 +203,7 @@ SELECT namespace, CASE WHEN n_chunks IS NOT NULL THEN md5(namespace || ':list')
 FROM asked LEFT JOIN built USING (namespace)""",
     "vector_topk": f"{pipeline(BENCHMARK, VECTOR)} {_POOL} v_pool",
     "vector_neighbours": f"""WITH {_UNIT},
-every AS (SELECT a.vec_id AS q_id, b.vec_id, round(list_dot_product(a.e, b.e), 6) AS score FROM unit a CROSS JOIN unit b)
+every AS (SELECT a.vec_id AS q_id, b.vec_id, round(list_dot_product(a.e, b.e), 6) AS score FROM unit a CROSS JOIN unit b WHERE a.vec_id % 100 = 0)
 {_vec_ranked('every')}""",
     "bm25_topk": f"{pipeline(BENCHMARK, BM25)} {_POOL} b_pool",
     "hybrid_rrf": f"{pipeline(BENCHMARK, VECTOR, BM25, FUSED)} {_POOL} f_pool",
@@ -239,4 +239,8 @@ FROM called GROUP BY GROUPING SETS ((theta, turn), (theta))""",
 SELECT q_id, doc_id, chunk_no, v.rank AS rank_before, f.rank AS rank_after, v.rank - f.rank AS shift
 FROM v_pool v FULL JOIN f_pool f USING (q_id, doc_id, chunk_no)""",
     "ann_topk": _ann(),
+    # The pages' texts stand in for the table of documents.
+    "crawl_answers": f"""WITH RECURSIVE documents AS (
+  SELECT CAST('0x' || substr(md5(slug), 1, 15) AS BIGINT) AS doc_id, markdown AS text FROM ({crawling_sql.ORACLE["page_sink"]})),
+{pipeline(BENCHMARK, *_WHOLE).removeprefix("WITH RECURSIVE ")} {_POOL} r_pool""",
 }

@@ -7,7 +7,8 @@ import shutil
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql.types import FloatType, IntegerType
 
 _LOCAL_FALLBACK: dict[str, str] = {}
 _SHIPPED: set[str] = set()
@@ -82,3 +83,14 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     path = fresh_dir(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def plain(df: DataFrame) -> DataFrame:
+    """Widen 32-bit numbers, so results compare across engines by value and type."""
+    wide = {IntegerType: "long", FloatType: "double"}
+    return df.select(
+        *[
+            F.col(f.name).cast(wide[type(f.dataType)]) if type(f.dataType) in wide else F.col(f.name)
+            for f in df.schema.fields
+        ]
+    )

@@ -6,9 +6,9 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from corpuscade.functions import html as hx
 from corpuscade.functions.urls import page_slug, with_normalized_url
-from corpuscade.operators.skew import lookup_join
+from corpuscade.operators.skew import fits_broadcast, lookup_join, salted_join
 from corpuscade.operators.topk import first_per_key
-from corpuscade.session import spread
+from corpuscade.session import materialize, spread
 
 ABSENT = "not in page store"
 NO_CONTENT = "no content stored"
@@ -20,23 +20,21 @@ def read_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def page_store(pages: DataFrame) -> DataFrame:
-    """One stored fetch per normalised URL: ``norm_url, success, error, html``.
+    """One stored fetch per normalised URL: ``norm_url, success, error, stored_id``.
 
     The first page stored under a URL counts. Whatever was stored was fetched;
     only a page stored without html is a failed fetch.
     """
-    # Judged before the shuffle, so that html only travels when it is asked for.
-    judged = with_normalized_url(pages, "url").withColumn("success", F.col("html").isNotNull())
-    return first_per_key(judged, ["norm_url"], [F.col("page_id")]).select(
-        "norm_url", "success", F.when(~F.col("success"), F.lit(NO_CONTENT)).alias("error"), "html"
-    )
+    # Judged before the shuffle: html stays where it is until ``with_html`` asks for it.
+    judged = with_normalized_url(pages.withColumn("success", F.col("html").isNotNull()), "url")
+    return first_per_key(judged.select("norm_url", "page_id", "success"), ["norm_url"], [F.col("page_id")]).select(
+        "norm_url", "success", F.when(~F.col("success"), F.lit(NO_CONTENT)).alias("error"),
+        F.col("page_id").alias("stored_id"),
+    )
 
 
 def fetch(requests: DataFrame, store: DataFrame) -> DataFrame:
-    """Look ``requests(url, ...)`` up in the store; a URL it lacks is a failed fetch.
-
-    Carries ``html`` along only when ``store`` has the column.
-    """
+    """Look ``requests(url, ...)`` up in the store; a URL it lacks is a failed fetch."""
     found = lookup_join(with_normalized_url(requests, "url"), store, ["norm_url"], "left")
     return (
         found.withColumn("error", F.when(F.col("success").isNull(), F.lit(ABSENT)).otherwise(F.col("error")))
@@ -45,6 +43,19 @@ def fetch(requests: DataFrame, store: DataFrame) -> DataFrame:
     )
 
 
+def with_html(fetched: DataFrame, pages: DataFrame) -> DataFrame:
+    """Add ``html`` to ``fetched(stored_id, ...)``: of the rows that are wanted only.
+
+    The pages are filtered where they lie when the wanted rows measure small, and
+    shuffled once otherwise.
+    """
+    texts = pages.select(F.col("page_id").alias("stored_id"), "html")
+    wanted = materialize(fetched, "wanted-pages")
+    if fits_broadcast(wanted):
+        return texts.join(F.broadcast(wanted), "stored_id").drop("stored_id")
+    return salted_join(wanted, texts, ["stored_id"]).drop("stored_id")
+
+
 def to_markdown(fetched: DataFrame) -> DataFrame:
     """Replace ``html`` by ``markdown``: the pruned text, or all of it when nothing is left."""
     return (
@@ -68,9 +79,20 @@ def manifest(fetched: DataFrame, output_dir: str) -> DataFrame:
     )
 
 
-def write_pages(winners: DataFrame, output_dir: str) -> None:
-    """Pages as one Parquet table: the form for crawls of any size."""
-    winners.select("slug", "url", "markdown").write.mode("overwrite").parquet(output_dir)
+def write_pages(winners: DataFrame, output_dir: str, crawl_id: str) -> None:
+    """Pages as one Parquet table, a folder per crawl: the form for crawls of any size.
+
+    Crawls add up; one that is run again replaces its own pages.
+    """
+    winners.select("slug", "url", "markdown").write.mode("overwrite").parquet(f"{output_dir.rstrip('/')}/crawl={crawl_id}")
+
+
+def read_written(spark: SparkSession, output_dir: str) -> DataFrame:
+    """``slug, url, markdown`` of all crawls; of a page crawled again, the crawl of the last id."""
+    rows = spark.read.schema("slug string, url string, markdown string, crawl string").parquet(output_dir)
+    # Which crawl counts is settled on narrow rows; the texts are not shuffled for it.
+    last = rows.groupBy("slug").agg(F.max("crawl").alias("crawl"))
+    return lookup_join(rows, last, ["slug", "crawl"]).select("slug", "url", "markdown")
 
 
 def write_markdown(winners: DataFrame, output_dir: str) -> None:
