@@ -5,12 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import ArrayType, BinaryType, MapType, StringType, StructType
 
+from corpuscade.session import materialize
+
 MAX_BROADCAST_ROWS = 1_000_000
 MAX_BROADCAST_BYTES = 64 << 20
-SALTS = 32
-# A key is hot when it holds more than 1/HOT_SHARE of the rows, so there can
-# never be more than HOT_SHARE hot keys and their list is always small.
-HOT_SHARE = 1_000
+# A key with more rows than this is hot and is cut into pieces of about as many.
+# There are at most (all rows / TASK_ROWS) hot keys.
+TASK_ROWS = 1_000_000
 
 
 def fits_broadcast(
@@ -32,39 +33,35 @@ def fits_broadcast(
     return size["rows"] <= max_rows and (size["bytes"] or 0) <= max_bytes
 
 
-def hot_keys(facts: DataFrame, on: list[str], share: int = HOT_SHARE) -> DataFrame:
-    """Keys holding more than 1/share of the rows (fewer than ``share`` of them)."""
-    counts = facts.groupBy(*on).agg(F.count("*").alias("_n"))
-    total = counts.agg(F.sum("_n").alias("t")).scalar()
-    return counts.where(F.col("_n") * share > total).select(*on, F.lit(True).alias("_hot"))
+def hot_keys(facts: DataFrame, on: list[str], task_rows: int = TASK_ROWS) -> DataFrame:
+    """``on, _salts``: keys of more than ``task_rows`` rows, and how many tasks they are cut over."""
+    counts = facts.groupBy(*on).agg(F.count("*").alias("_n")).where(F.col("_n") > task_rows)
+    return counts.select(*on, F.ceil(F.col("_n") / task_rows).cast("int").alias("_salts"))
 
 
 def salted_join(
-    facts: DataFrame, dim: DataFrame, on: list[str], how: str = "inner", salts: int = SALTS
+    facts: DataFrame, dim: DataFrame, on: list[str], how: str = "inner", task_rows: int = TASK_ROWS
 ) -> DataFrame:
-    """Shuffle join that spreads the hot keys of ``facts`` over ``salts`` tasks.
+    """Shuffle join that spreads each hot key of ``facts`` over as many tasks as its rows need.
 
     Rows of ``dim`` are repeated for hot keys only. The salt is a hash of the
-    fact row, so a re-run task routes every row as before.
+    fact row, so a re-run task routes rows as before. The list of hot keys is
+    written down, and broadcast if it measures small; without any, this is a plain join.
     """
-    hot = F.broadcast(hot_keys(facts, on))
-    row_salt = F.pmod(F.xxhash64(*[F.col(c) for c in facts.columns]), F.lit(salts)).cast("int")
+    hot = materialize(hot_keys(facts, on, task_rows), "hot-keys")
+    if hot.isEmpty():
+        return facts.join(dim, on, how)
+    hot = F.broadcast(hot) if fits_broadcast(hot) else hot
+    row_salt = F.pmod(F.xxhash64(*[F.col(c) for c in facts.columns]), F.col("_salts")).cast("int")
     left = (
         facts.join(hot, on, "left")
-        .withColumn("_salt", F.when(F.col("_hot"), row_salt).otherwise(F.lit(0)))
-        .drop("_hot")
+        .withColumn("_salt", F.coalesce(row_salt, F.lit(0)))
+        .drop("_salts")
     )
     right = (
         dim.join(hot, on, "left")
-        .withColumn(
-            "_salt",
-            F.explode(
-                F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(
-                    F.array(F.lit(0))
-                )
-            ),
-        )
-        .drop("_hot")
+        .withColumn("_salt", F.explode(F.sequence(F.lit(0), F.coalesce("_salts", F.lit(1)) - 1)))
+        .drop("_salts")
     )
     return left.join(right, [*on, "_salt"], how).drop("_salt")
 

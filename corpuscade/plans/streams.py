@@ -17,7 +17,8 @@ def stream_page_dedup(spark, sf_dir):
     session = stream_session(spark)
     pages = session.readStream.schema("page_id long, url string, html string").parquet(f"{sf_dir}/pages.parquet*")
     links = pages.select("url", F.explode(hx.hrefs(F.col("html"))).alias("href"))
-    out = drain_to_parquet(first_sights(links, "href", base="url"), "first-sights")
+    out = fresh_dir(spark, "first-sights")
+    drain_to_parquet(first_sights(links, "href", base="url"), out, fresh_dir(spark, "first-sights-progress"))
     return spark.read.schema("norm_url string").parquet(out)
 
 
@@ -32,7 +33,7 @@ def stream_questions(spark, sf_dir):
         return reranked(index, materialize(batch, "question-batch")).drop("passage")
 
     out = fresh_dir(spark, "stream-answers")
-    answer_stream(questions.select(F.col("item_id").alias("q_id"), "text"), answer, out, "questions")
+    answer_stream(questions.select(F.col("item_id").alias("q_id"), "text"), answer, out, fresh_dir(spark, "questions-progress"))
     schema = "q_id long, doc_id long, chunk_no int, score double, rank int, batch int"
     return plain(spark.read.schema(schema).parquet(out).drop("batch"))
 

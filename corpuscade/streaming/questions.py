@@ -9,11 +9,13 @@ from pyspark.sql import DataFrame, functions as F
 from corpuscade.streaming.runner import drain_batches
 
 
-def answer_stream(questions: DataFrame, answer: Callable[[DataFrame], DataFrame], out: str, name: str) -> str:
+def answer_stream(questions: DataFrame, answer: Callable[[DataFrame], DataFrame], out: str, progress: str) -> str:
     """Run ``answer`` on each micro-batch of ``questions(q_id, text)``.
 
     Results go to ``out``, a folder per batch; a batch that is run again after a
-    failure replaces its own folder, so every question is answered once.
+    failure replaces its own folder, so every question is answered once. ``out`` and the
+    checkpoint folder ``progress`` belong together: with both, a stream goes on where it
+    stopped.
     """
 
     def handle(batch: DataFrame, batch_id: int) -> None:
@@ -25,5 +27,5 @@ def answer_stream(questions: DataFrame, answer: Callable[[DataFrame], DataFrame]
             .parquet(out)
         )
 
-    drain_batches(questions, name, handle)
+    drain_batches(questions, progress, handle)
     return out

@@ -226,3 +226,16 @@ def test_sink_manifest_and_hidden_folder(spark, tmp_path):
     texts = {r["path"].split("slug=")[1].split("/")[0]: r["text"].strip() for r in read_directory(spark, out).collect()}
     # The one-word page is pruned to nothing, so its whole text stays.
     assert texts == {"h-a": "second page text", "h-c": "x"}
+
+
+def test_page_sink_adds_up(spark, tmp_path):
+    out = str(tmp_path / "pages")
+
+    def write(crawl, *pages):
+        pg.write_pages(spark.createDataFrame(pages, "slug string, url string, markdown string"), out, crawl)
+
+    write("1", ("a", "http://h/a", "old"), ("b", "http://h/b", "kept"))
+    write("2", ("a", "http://h/a", "new"))
+    write("2", ("a", "http://h/a", "newer"), ("c", "http://h/c", "added"))
+    got = {r["slug"]: r["markdown"] for r in pg.read_written(spark, out).collect()}
+    assert got == {"a": "newer", "b": "kept", "c": "added"}

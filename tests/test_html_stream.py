@@ -50,10 +50,26 @@ def test_watermarked_first_sights(spark, tmp_path):
     timed = spark.createDataFrame(rows, "url string, at string").withColumn("at", F.to_timestamp("at"))
     timed.write.parquet(src)
     stream = stream_session(spark, 2).readStream.schema(timed.schema).parquet(src)
-    out = drain_to_parquet(first_sights(stream, event_time="at", within="1 hour"), "timed")
+    out = drain_to_parquet(first_sights(stream, event_time="at", within="1 hour"), str(tmp_path / "timed"), str(tmp_path / "progress"))
     assert sorted(r["norm_url"] for r in spark.read.parquet(out).collect()) == ["http://h/a", "http://h/b"]
 
 
+def test_a_stopped_stream_goes_on(spark, tmp_path):
+    from corpuscade.streaming.pages import first_sights
+    from corpuscade.streaming.questions import answer_stream
+    from corpuscade.streaming.runner import drain_to_parquet, stream_session
+
+    src, out, progress = (str(tmp_path / name) for name in ("src", "out", "progress"))
+    answers, at = str(tmp_path / "answers"), str(tmp_path / "at")
+    for urls in (["http://h/a", "http://h/b"], ["http://h/b/", "http://h/c"]):
+        spark.createDataFrame([(u,) for u in urls], "url string").write.mode("append").parquet(src)
+        stream = stream_session(spark, 2).readStream.schema("url string").parquet(src)
+        drain_to_parquet(first_sights(stream), out, progress)
+        answer_stream(stream, lambda batch: batch, answers, at)
+    assert sorted(r["norm_url"] for r in spark.read.parquet(out).collect()) == ["http://h/a", "http://h/b", "http://h/c"]
+    assert sorted(r["url"] for r in spark.read.parquet(answers).collect()) == ["http://h/a", "http://h/b", "http://h/b/", "http://h/c"]
+
+
 def test_links_in_any_quotes_and_with_references(spark):
     html = """<a href="/p?x=1&amp;y=2">a</a> <a class=x href='/single'>b</a> <a href=/bare>c</a> <A HREF = "/up">d</A>
     <a data-href="/no">e</a>"""

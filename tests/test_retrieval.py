@@ -127,6 +127,8 @@ def test_list_retrieval_fills_up_and_plans_agree(spark, tmp_path):
     for block in (8192, 0):
         got = lexical.list_top_k(index, questions, 3, question_block=block)
         assert sorted(map(tuple, got.select("q_id", "rank", "doc_id", "chunk_no", "score").collect())) == want
+    got = lexical.list_top_k(index, questions, 3, scorer=fusion.overlap_score)
+    assert sorted(map(tuple, got.select("q_id", "rank", "doc_id", "chunk_no", "score").collect())) == want
 
 
 def test_exact_term_rises_with_fusion(spark, tmp_path):
@@ -265,7 +267,7 @@ def test_salted_join_equals_plain_join(spark):
     dim = dim.unionByName(spark.createDataFrame([(7, -1)], "k long, d long"))
     for how in ("inner", "left"):
         want = sorted(map(str, facts.join(dim, "k", how).collect()))
-        assert sorted(map(str, salted_join(facts, dim, ["k"], how, salts=5).collect())) == want
+        assert sorted(map(str, salted_join(facts, dim, ["k"], how, task_rows=5).collect())) == want
         assert sorted(map(str, lookup_join(facts, dim, ["k"], how, max_rows=10).collect())) == want
     assert fits_broadcast(dim) and not fits_broadcast(dim, max_rows=10) and not fits_broadcast(dim, max_bytes=100)
 
