@@ -184,7 +184,7 @@ SELECT source, count(*) AS n_chunks, CAST(sum(n_tokens) AS BIGINT) AS n_tokens,
 FROM chunks JOIN documents USING (doc_id) GROUP BY source""",
     "chunk_embed": f"""WITH RECURSIVE {chunk_ctes(chunking.CHUNK_SIZE)}, {embed_ctes('ce', 'chunks', 'doc_id, chunk_no')}
 SELECT doc_id, chunk_no, dim, round(CAST(v AS DOUBLE), 6) AS value FROM ce""",
-    # Refresh adds a text only where the namespace does not hold it yet.
+    # After the refreshes: every document with its current text, less the removed ones.
     "index_roundtrip": f"""WITH RECURSIVE {chunk_ctes(chunking.CHUNK_SIZE)},
 kept AS (SELECT source AS namespace, c.*, {terms('c.text')} AS ts FROM chunks c JOIN documents d USING (doc_id) WHERE doc_id % 11 <> 0),
 kinds AS (SELECT source AS namespace, CASE WHEN bool_or(lang = 'en') THEN 'vector' ELSE 'list' END AS kind FROM documents GROUP BY 1),
