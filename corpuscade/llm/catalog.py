@@ -7,7 +7,9 @@ from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corpuscade.llm import bpe, factorisation, fertility, ftrl, hnsw, icws, kdtree, mixing, run_index, seed_extend
+from corpuscade.llm import (
+    bpe, factorisation, fertility, ftrl, hnsw, icws, kdtree, mixing, packing, run_index, seed_extend, strata,
+)
 from corpuscade.session import ship_package
 
 QUERIES = {
@@ -21,8 +23,10 @@ QUERIES = {
     "op8_icws": icws.op8_icws,
     "op9_mixing": mixing.op9_mixing,
     "op10_factorisation": factorisation.op10_factorisation,
+    "op11_strata": strata.op11_strata,
+    "op12_packing": packing.op12_packing,
 }
-ORACLE = {"op9_mixing": mixing.OP9_SQL}
+ORACLE = {"op9_mixing": mixing.OP9_SQL, "op11_strata": strata.OP11_SQL}
 
 
 def _shipped(query: Callable[[SparkSession, str], DataFrame]):
