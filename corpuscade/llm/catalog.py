@@ -8,7 +8,7 @@ from functools import wraps
 from pyspark.sql import DataFrame, SparkSession
 
 from corpuscade.llm import (
-    bpe, factorisation, fertility, ftrl, hnsw, icws, kdtree, mixing, packing, run_index, seed_extend, strata,
+    bpe, factorisation, fertility, ftrl, hnsw, icws, kdtree, mixing, packing, run_index, seed_extend, strata, turns,
 )
 from corpuscade.session import ship_package
 
@@ -25,8 +25,9 @@ QUERIES = {
     "op10_factorisation": factorisation.op10_factorisation,
     "op11_strata": strata.op11_strata,
     "op12_packing": packing.op12_packing,
+    "op13_turns": turns.op13_turns,
 }
-ORACLE = {"op9_mixing": mixing.OP9_SQL, "op11_strata": strata.OP11_SQL}
+ORACLE = {"op9_mixing": mixing.OP9_SQL, "op11_strata": strata.OP11_SQL, "op13_turns": turns.OP13_SQL}
 
 
 def _shipped(query: Callable[[SparkSession, str], DataFrame]):

@@ -11,7 +11,6 @@ never shuffled; a sequence's number is its task's, shifted, plus a counter.
 
 from __future__ import annotations
 
-import re
 import zlib
 from collections import deque
 from collections.abc import Iterator
@@ -34,8 +33,8 @@ TOKENS, SEGMENTS, LOSS = 1024, 64, 1023
 RESERVE = 1 << 19
 #: Bytes of texts that are encoded together.
 STEP = 2 << 20
-#: ASCII and Latin letters, spaces and line breaks.
-PLAIN = re.compile("[\n -~\u00c0-\u024f]*")
+#: The bytes of printable ASCII, Latin letters (U+00C0 to U+027F), spaces and line breaks.
+PLAIN = bytes([0x0A, *range(0x20, 0x7F), *range(0x80, 0xC0), *range(0xC3, 0xCA)])
 #: A run of so much white space is left to the tokenizer, too.
 LONG_SPACE = 256
 _SHIFT = 33
@@ -59,7 +58,7 @@ class Encoder:
         self.plain = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
 
     def encode(self, text: str) -> np.ndarray:
-        if PLAIN.fullmatch(text) and " " * LONG_SPACE not in text and "\n" * LONG_SPACE not in text:
+        if not text.encode().translate(None, PLAIN) and " " * LONG_SPACE not in text and "\n" * LONG_SPACE not in text:
             return np.asarray(self.plain.encode_to_numpy(text, disallowed_special=()), "<u4")
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
 
@@ -98,46 +97,58 @@ class Packer:
 
     def __init__(self, limits: Limits, cuts: bool):
         self.limits, self.cuts = limits, cuts
+        self._whole = np.array([limits.tokens, limits.segments, limits.loss], float)
         self.waiting: dict[tuple[int, int], deque[Piece]] = {}
         self.held = 0
-        self._shapes: np.ndarray | None = None
-
-    def add(self, piece: Piece) -> None:
-        self._put(piece)
-
-    def _put(self, piece: Piece, front: bool = False) -> None:
-        queue = self.waiting.get(shape := (piece.tokens, piece.loss))
-        if queue is None:
-            queue = self.waiting[shape] = deque()
-            self._shapes = None
+        self._lay_out()
+
+    def _lay_out(self) -> None:
+        """Number the shapes that wait: their demands, as shares too, and whether any piece has them."""
+        self._shapes = sorted(self.waiting)
+        self._number = {shape: i for i, shape in enumerate(self._shapes)}
+        size = 2 * len(self._shapes) + 64
+        self._demand, self._open = np.zeros((size, 3), np.int64), np.zeros(size, bool)
+        for i, (tokens, loss) in enumerate(self._shapes):
+            self._demand[i] = tokens, 1, loss
+            self._open[i] = True
+        self._share = self._demand / self._whole
+
+    def add(self, piece: Piece, front: bool = False) -> None:
+        shape = (piece.tokens, piece.loss)
+        queue = self.waiting.setdefault(shape, deque())
         queue.appendleft(piece) if front else queue.append(piece)
         self.held += max(piece.tokens, 1)
+        if len(queue) > 1:
+            return
+        if shape not in self._number:
+            if len(self._shapes) == len(self._open):
+                return self._lay_out()
+            i = self._number[shape] = len(self._shapes)
+            self._shapes.append(shape)
+            self._demand[i] = piece.tokens, 1, piece.loss
+            self._share[i] = self._demand[i] / self._whole
+        self._open[self._number[shape]] = True
 
     def _take(self, shape: tuple[int, int]) -> Piece:
         queue = self.waiting[shape]
         piece = queue.popleft()
         if not queue:
             del self.waiting[shape]
-            self._shapes = None
+            self._open[self._number[shape]] = False
         self.held -= max(piece.tokens, 1)
         return piece
 
     def _choose(self, room: np.ndarray) -> tuple[int, int] | None:
         """The waiting shape with the largest dot product with the room, of those that fit."""
-        if self._shapes is None:
-            shapes = np.array(sorted(self.waiting), np.int64).reshape(-1, 2)
-            self._shapes = np.insert(shapes, 1, 1, axis=1)  # tokens, one segment, loss
-        whole = np.array([self.limits.tokens, self.limits.segments, self.limits.loss], float)
-        fits = (self._shapes <= room).all(1)
-        if not fits.any():
+        fits = self._open & (self._demand[:, 0] <= room[0]) & (self._demand[:, 2] <= room[2])
+        which = np.flatnonzero(fits)
+        if not len(which):
             return None
-        dots = np.where(fits, (self._shapes / whole) @ (room / whole), -1.0)
-        tokens, _, loss = self._shapes[int(dots.argmax())]
-        return int(tokens), int(loss)
+        return self._shapes[which[(self._share[which] @ (room / self._whole)).argmax()]]
 
     def _cut(self, piece: Piece, tokens: int) -> Piece:
         """The first tokens of a piece; the rest waits again."""
-        self._put(Piece(piece.example, piece.start + tokens, piece.tokens - tokens, piece.tokens - tokens - 1), front=True)
+        self.add(Piece(piece.example, piece.start + tokens, piece.tokens - tokens, piece.tokens - tokens - 1), front=True)
         return Piece(piece.example, piece.start, tokens, tokens - 1)
 
     def sequence(self) -> list[Piece]:
@@ -162,7 +173,7 @@ class Packer:
             while over:
                 last = out.pop()
                 if last.tokens <= over:
-                    self._put(last, front=True)
+                    self.add(last, front=True)
                 else:
                     out.append(self._cut(last, last.tokens - over))
                 over -= min(over, last.tokens)
@@ -171,17 +182,18 @@ class Packer:
 
 PIECES = (
     "doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, "
-    "offset long, segment int, ids binary"
+    "offset long, segment int"
 )
 
 
 def pack_documents(
-    docs: DataFrame, vocabulary: str, pattern: str, limits: Limits = Limits(), reserve: int = RESERVE
-) -> DataFrame:
+    docs: DataFrame, vocabulary: str, pattern: str, limits: Limits = Limits(), reserve: int = RESERVE,
+    with_ids: bool = True,
+) -> DataFrame:
     """Pieces of the documents' ids, a closing id 0 each, placed in sequences.
 
     doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, segment (from 0 in its
-    sequence) and ids (little-endian, 32 bits). A null text is an empty one: its only id
+    sequence) and, if asked for, ids (little-endian, 32 bits). A null text is an empty one: its only id
     is the closing one. Every row is a document of its own, whatever its doc_id; an empty
     table gives an empty table; other columns are not looked at. A text of any length is
     cut into as many pieces as it needs. ``vocabulary`` is the path of a byte-level
@@ -190,7 +202,7 @@ def pack_documents(
     with open(vocabulary, encoding="utf-8") as file:
         content = docs.sparkSession.sparkContext.broadcast(file.read())  # 2 MB
     kind = dict(docs.select("doc_id").dtypes)["doc_id"]
-    schema = docs.sparkSession.createDataFrame([], PIECES.format(kind=kind)).schema
+    schema = docs.sparkSession.createDataFrame([], PIECES.format(kind=kind) + ", ids binary" * with_ids).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark.sql.pandas.types import to_arrow_schema
@@ -206,7 +218,8 @@ def pack_documents(
             for segment, p in enumerate(sequence):
                 doc_id, size, ids, base = p.example
                 data = ids[p.start - base : p.start - base + p.tokens].tobytes()
-                rows.append((doc_id, p.start, p.tokens, zlib.crc32(data), size, number, offset, segment, data))
+                row = (doc_id, p.start, p.tokens, zlib.crc32(data), size, number, offset, segment)
+                rows.append((*row, data) if with_ids else row)
                 offset += p.tokens
             number += 1
 
@@ -292,5 +305,6 @@ def pack_examples(examples: DataFrame, limits: Limits = Limits(), reserve: int =
 def op12_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    packed = pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY), public_tokenizers.PATTERN)
-    return packed.drop("segment", "ids")
+    vocabulary = public_tokenizers.path(VOCABULARY)
+    packed = pack_documents(table(spark, sf_dir, "documents"), vocabulary, public_tokenizers.PATTERN, with_ids=False)
+    return packed.drop("segment")

@@ -27,7 +27,7 @@ from corpuscade.session import materialize
 
 BEST = 50
 #: Word occurrences a shard holds.
-SHARD = 2_000_000
+SHARD = 500_000
 #: Bytes of texts that are looked at together.
 STEP = 4 << 20
 

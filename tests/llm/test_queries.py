@@ -18,7 +18,7 @@ def test_query_equals_its_sql(spark, sf_dir, name):
 
 
 def test_every_operator_has_its_query():
-    assert [n.split("_")[0] for n in catalog.queries()] == [f"op{k}" for k in range(1, 11)]
+    assert [n.split("_")[0] for n in catalog.queries()] == [f"op{k}" for k in range(1, 14)]
     assert set(catalog.queries()) | {"pipeline"} <= set(entry.queries())
 
 
