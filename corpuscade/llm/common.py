@@ -115,3 +115,42 @@ def sliced(batches: Iterator[pa.RecordBatch], column: str, limit: int) -> Iterat
         rows = max(1, int(batch.num_rows * limit / size))
         for at in range(0, batch.num_rows, rows):
             yield batch.slice(at, rows)
+
+
+_IS_SPACE = np.zeros(256, bool)
+_IS_SPACE[[0x20, *range(0x09, 0x0E)]] = True
+#: Keeps the first k bytes of eight.
+_FIRST = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+#: Words of more bytes are hashed one by one.
+_LONG_WORD = 256
+
+
+def hashed_words(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words of all texts of a string column, one after the other, and how many
+    words each text has (null: none). Reads eight bytes of all words at a time."""
+    n, at = len(column), column.offset
+    offsets = np.frombuffer(column.buffers()[1], np.int32)[at : at + n + 1].astype(np.int64)
+    raw = column.buffers()[2]
+    data = np.zeros(offsets[-1] - offsets[0] + 8, np.uint8)  # eight more, to read beyond the end
+    if raw is not None and len(data) > 8:
+        data[:-8] = np.frombuffer(raw, np.uint8)[offsets[0] : offsets[-1]]
+    offsets -= offsets[0]
+    word = ~_IS_SPACE[data[:-8]]
+    edge = np.zeros(len(word) + 1, bool)  # texts do not run into each other
+    edge[offsets] = True
+    opens, closes = word.copy(), word.copy()
+    opens[1:] &= ~word[:-1] | edge[1:-1]
+    closes[:-1] &= ~word[1:] | edge[1:-1]
+    begin = np.flatnonzero(opens)
+    size = np.flatnonzero(closes) + 1 - begin
+    eight = np.ndarray((len(data) - 7,), "<u8", data.data, strides=(1,))
+    h = mix(size.astype(np.uint64) * _ODD ^ (eight[begin] & _FIRST[size.clip(max=8)]))
+    k, more = 8, np.flatnonzero((size > 8) & (size <= _LONG_WORD))
+    while len(more):
+        part = eight[begin[more] + k] & _FIRST[(size[more] - k).clip(max=8)]
+        h[more] = mix(h[more] * _ODD ^ part)
+        k += 8
+        more = more[size[more] > k]
+    for i in np.flatnonzero(size > _LONG_WORD).tolist():
+        h[i] = xxhash.xxh3_64_intdigest(data[begin[i] : begin[i] + size[i]].tobytes())
+    return h, np.diff(np.searchsorted(begin, offsets))

@@ -8,13 +8,13 @@ and the similarity itself decides.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from corpuscade.llm.common import WordHashes, grams, mix, per_batch, table, words
+from corpuscade.llm.common import grams, hashed_words, mix, sliced, table
 from corpuscade.llm.components import components
 from corpuscade.llm.repeats import text_keys
 from corpuscade.session import materialize
@@ -29,19 +29,36 @@ COUNTER_BLOCK = 1 << 13
 PAIRED = 16
 BLOCK = 512
 
+#: Texts a task remembers to have drawn from.
+REMEMBERED = 500_000
+#: Bytes of texts that are cut into runs together.
+STEP = 1 << 20
+#: Of runs in fewer than one of so many documents the sketch cannot tell how rare they are;
+#: they weigh the same, at every size of the corpus.
+RARE = 512
+
 _DRAWS = mix(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64) * np.uint64(0xA0761D6478BD642F))
+_ODD = (_DRAWS >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
 _OCCURRENCE = np.uint64(0xE7037ED1A0B428DB)
 
+Runs = tuple[np.ndarray, np.ndarray]
+
 
-def shingles(text: str | bytes | None, known: WordHashes) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the runs of five words, each once, and how often each occurs.
+def shingles(column: pa.Array) -> Iterator[Runs]:
+    """For each text: hashes of its runs of five words, each once, and how often each occurs.
 
     A text of one to four words has one run, all of it; without words there is none.
     """
-    found = text.split() if isinstance(text, bytes) else words(text)
-    if not found:
-        return np.empty(0, np.uint64), np.empty(0, np.int64)
-    return np.unique(grams(known.of(found), min(SHINGLE, len(found))), return_counts=True)
+    h, sizes = hashed_words(column)
+    runs, begins = grams(h, SHINGLE), np.cumsum(sizes) - sizes
+    for at, n in zip(begins.tolist(), sizes.tolist()):
+        own = np.sort(runs[at : at + n - SHINGLE + 1] if n >= SHINGLE else grams(h[at : at + n], n) if n else h[:0])
+        first = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]])[: len(own)])
+        yield own[first], np.diff(np.append(first, len(own)))
+
+
+def shingles_of(text: str | bytes | None) -> Runs:
+    return next(shingles(pa.array([text.encode() if isinstance(text, str) else text], pa.binary())))
 
 
 def counters(hashes: np.ndarray) -> np.ndarray:
@@ -54,14 +71,12 @@ def counters(hashes: np.ndarray) -> np.ndarray:
 class Rarity:
     """Inverse document frequency from a count-min sketch.
 
-    ln((1 + documents) / (1 + frequency)) + 1. The frequency is the least counter, but twice
-    what a counter holds on average at least: below that a sketch cannot tell, and all such
-    runs weigh the same.
+    ln((1 + documents) / (1 + frequency)) + 1. The frequency is the least counter, but at
+    least 1 and a fixed share of the documents.
     """
 
     def __init__(self, counts: np.ndarray, documents: int):
-        floor = 2 * counts.sum() / len(counts) if len(counts) else 0
-        self.counts, self.documents = np.maximum(counts, max(floor, 1)).astype(np.float32), documents
+        self.counts, self.documents = np.maximum(counts, max(documents / RARE, 1)).astype(np.float32), documents
 
     def of(self, hashes: np.ndarray) -> np.ndarray:
         frequency = self.counts[counters(hashes)].min(0) if len(hashes) else np.empty(0, np.float32)
@@ -76,13 +91,12 @@ def document_frequencies(texts: DataFrame) -> tuple[np.ndarray, int]:
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, sums, seen = WordHashes(), np.zeros(DEPTH << WIDTH_BITS, np.int64), 0
-        for batch in batches:
-            for text in batch.column("text"):
-                hashes, _ = shingles(text.as_py(), known)
-                if len(hashes):
-                    np.add.at(sums, counters(hashes).ravel(), 1)
-                    seen += 1
+        sums, seen = np.zeros(DEPTH << WIDTH_BITS, np.int64), 0
+        for batch in sliced(batches, "text", STEP):
+            found = [hashes for hashes, _ in shingles(batch.column("text")) if len(hashes)]
+            if found:
+                np.add.at(sums, counters(np.concatenate(found)).ravel(), 1)
+                seen += len(found)
         if seen:
             blocks = sums.astype("<u4").reshape(-1, COUNTER_BLOCK)
             yield pa.RecordBatch.from_pydict({
@@ -108,10 +122,11 @@ def document_frequencies(texts: DataFrame) -> tuple[np.ndarray, int]:
     return np.concatenate([found[b] for b in sorted(found)]), documents
 
 
-def _uniform(bits: np.ndarray, shift: int) -> np.ndarray:
-    """Numbers over 0 and below 1 from 21 of the bits."""
-    part = ((bits >> np.uint64(shift)) & np.uint64((1 << 21) - 1)).astype(np.float32)
-    return (part + np.float32(0.5)) * np.float32(2.0**-21)
+def _two(bits: np.ndarray) -> np.ndarray:
+    """Minus the logarithm of the product of two uniform numbers, of 16 bits each: Gamma(2, 1)."""
+    high = (bits >> np.uint32(16)).view(np.int32).astype(np.float32) + np.float32(0.5)
+    low = (bits & np.uint32(0xFFFF)).view(np.int32).astype(np.float32) + np.float32(0.5)
+    return np.float32(32 * np.log(2)) - np.log(high * low)
 
 
 def draws(hashes: np.ndarray, weights: np.ndarray) -> np.ndarray:
@@ -123,19 +138,28 @@ def draws(hashes: np.ndarray, weights: np.ndarray) -> np.ndarray:
     best = np.full(len(_DRAWS), np.inf, np.float32)
     out = np.zeros(len(_DRAWS), np.uint64)
     logs = np.log(weights).astype(np.float32)
-    step = 1024
+    high, low = (hashes >> np.uint64(32)).astype(np.uint32), hashes.astype(np.uint32)
+    columns = np.arange(len(_DRAWS))
+    step = 256
     for at in range(0, len(hashes), step):
-        h, w = hashes[at : at + step, None], logs[at : at + step, None]
-        one = mix(h + _DRAWS)
-        two = one * np.uint64(0x9FB21C651E98DF25)
-        two ^= two >> np.uint64(32)
-        r = -np.log(_uniform(one, 0) * _uniform(one, 21))
-        b = _uniform(one, 42)
-        c = -np.log(_uniform(two, 0) * _uniform(two, 21))
+        w = logs[at : at + step, None]
+        x = high[at : at + step, None] * _ODD
+        x ^= low[at : at + step, None]
+        for shift, odd in ((15, 0x2C1B3C6D), (12, 0x297A2D39)):
+            x ^= x >> np.uint32(shift)
+            x *= np.uint32(odd)
+        x ^= x >> np.uint32(15)
+        y = x * np.uint32(0x9E3779B1)
+        y ^= y >> np.uint32(16)
+        y *= np.uint32(0x85EBCA6B)
+        y ^= y >> np.uint32(13)
+        z = y * np.uint32(0xC2B2AE35)
+        z ^= z >> np.uint32(16)
+        r, c = _two(x), _two(y)
+        b = ((z >> np.uint32(8)).view(np.int32).astype(np.float32) + np.float32(0.5)) * np.float32(2.0**-24)
         t = np.floor(w / r + b)
-        a = np.log(c) - r * (t - b) - r
+        a = np.log(c) - r * (t - b + np.float32(1))
         least = a.argmin(0)
-        columns = np.arange(len(_DRAWS))
         value = a[least, columns]
         closer = value < best
         best[closer] = value[closer]
@@ -144,12 +168,12 @@ def draws(hashes: np.ndarray, weights: np.ndarray) -> np.ndarray:
     return out
 
 
-def elements(text: bytes, rarity: Rarity, known: WordHashes) -> tuple[np.ndarray, np.ndarray]:
+def elements(text: bytes, rarity: Rarity) -> Runs:
     """The weighted set as a plain one: the n-th occurrence of a run, with the run's rarity.
 
     Sums of weights of common elements are sums of the smaller weights of common runs.
     """
-    hashes, times = shingles(text, known)
+    hashes, times = shingles_of(text)
     weight = rarity.of(hashes)
     which = np.repeat(np.arange(len(hashes)), times)
     nth = np.arange(len(which)) - np.repeat(np.cumsum(times) - times, times)
@@ -208,15 +232,15 @@ def _verified_pairs(pairs: DataFrame, texts: DataFrame, rarity) -> DataFrame:
     b = texts.select(F.col("t1").alias("b1"), F.col("t2").alias("b2"), F.col("data").alias("right"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rare, known = rarity.value, WordHashes()
+        rare = rarity.value
         last: dict[tuple, tuple] = {}  # rows of one text come one after the other
         for batch in batches:
             out = []
             for r in batch.to_pylist():
                 key = (r["b1"], r["b2"])
                 if key not in last:
-                    last = {key: elements(r["right"], rare, known)}
-                (ha, wa), (hb, wb) = elements(r["left"], rare, known), last[key]
+                    last = {key: elements(r["right"], rare)}
+                (ha, wa), (hb, wb) = elements(r["left"], rare), last[key]
                 common = wa[np.isin(ha, hb)].sum()
                 union = wa.sum() + wb.sum() - common
                 if union > 0 and common >= (SIMILAR - 1e-9) * union:
@@ -239,7 +263,7 @@ def _verified_blocks(members: DataFrame, texts: DataFrame, rarity) -> DataFrame:
     rows = dealt.join(texts.select("t1", "t2", "data"), ["t1", "t2"]).repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rare, known = rarity.value, WordHashes()
+        rare = rarity.value
         group, ids, sets = None, [], []
 
         def close() -> pa.RecordBatch:
@@ -252,7 +276,7 @@ def _verified_blocks(members: DataFrame, texts: DataFrame, rarity) -> DataFrame:
                     yield close()
                     group, ids, sets = (r["key"], r["i"], r["j"]), [], []
                 ids.append((r["t1"], r["t2"]))
-                sets.append(elements(r["data"], rare, known))
+                sets.append(elements(r["data"], rare))
         yield close()
 
     return rows.mapInArrow(run, LINKS)
@@ -269,23 +293,22 @@ def links(docs: DataFrame, texts: DataFrame) -> DataFrame:
     counts, documents = document_frequencies(docs.select(text))
     rarity = spark.sparkContext.broadcast(Rarity(counts, documents))  # 4 MB
 
-    def make() -> Callable[[pa.RecordBatch], dict]:
-        rare, known = rarity.value, WordHashes()
-
-        def step(batch: pa.RecordBatch) -> dict:
-            t1, t2, keys = [], [], []
-            for a, b, text in zip(batch.column("t1"), batch.column("t2"), batch.column("text")):
-                hashes, times = shingles(text.as_py(), known)
-                if len(hashes):
-                    drawn = draws(hashes, times * rare.of(hashes)).reshape(BANDS, ROWS)
-                    t1.append(a.as_py())
-                    t2.append(b.as_py())
-                    keys.append(grams_of_bands(drawn))
-            return {"t1": t1, "t2": t2, "keys": keys}
-
-        return step
-
-    sketched = per_batch(docs.select(*text_keys(), text), "t1 long, t2 long, keys array<long>", make)
+    def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rare, seen = rarity.value, set()
+        for batch in sliced(batches, "text", STEP):
+            ids = list(zip(batch.column("t1").to_pylist(), batch.column("t2").to_pylist()))
+            rows = []
+            for own, (hashes, times) in zip(ids, shingles(batch.column("text"))):
+                if len(hashes) and own not in seen:
+                    seen.add(own)  # a copy in the same task has the same draws
+                    rows.append((*own, grams_of_bands(draws(hashes, times * rare.of(hashes)).reshape(BANDS, ROWS))))
+            if len(seen) > REMEMBERED:
+                seen.clear()
+            if rows:
+                t1, t2, keys = zip(*rows)
+                yield pa.RecordBatch.from_arrays([pa.array(t1), pa.array(t2), pa.array(keys, pa.list_(pa.int64()))], ["t1", "t2", "keys"])
+
+    sketched = docs.select(*text_keys(), text).mapInArrow(sketch, "t1 long, t2 long, keys array<long>")
     sketches = materialize(sketched.dropDuplicates(["t1", "t2"]), "sketches")
     entries = sketches.select(F.explode("keys").alias("key"), "t1", "t2")
     sizes = entries.groupBy("key").agg(F.count("*").alias("size"), F.bit_xor(F.xxhash64("t1", "t2")).alias("set"))
