@@ -8,6 +8,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
+from corpuscade.llm.common import digest
+
 #: Most labelled rows a model learns from.
 SAMPLE = 12_000
 
@@ -26,7 +28,8 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, usable: Column, limit
 
     Rows are chosen by a hash of their id among those where ``usable`` holds and the label
     is not null, so a re-run chooses the same ones. The chosen ids are broadcast: their
-    number is the parameter.
+    number is the parameter. Of several rows of one id the one with the least text digest
+    is taken, so there are never more rows than ids.
     """
     order = F.xxhash64(F.col("doc_id"), F.lit(label))
     chosen = (
@@ -34,7 +37,9 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, usable: Column, limit
         .groupBy("doc_id").agg(F.max(F.col(label).cast("int")).alias("y"))
         .orderBy(order, "doc_id").limit(limit)
     )
-    return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    found = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    one = found.groupBy("doc_id").agg(F.min_by(F.struct("text"), digest("text")).alias("row"), F.max("y").alias("y"))
+    return one.select("doc_id", "row.text", "y")
 
 
 def learn(
