@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from corpuscade.session import materialize
+from corpuscade.session import discard, materialize
 
 
 def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
@@ -22,7 +22,8 @@ def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u")
         lowered = small.where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        edges = materialize(lowered.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "links")
+        earlier, edges = edges, materialize(lowered.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "links")
+        discard(earlier)
         now = edges.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first()
         if now == before:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))

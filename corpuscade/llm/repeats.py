@@ -6,7 +6,7 @@ the window. Neighbouring windows with one anchor form a *context*: the units the
 the number of windows (``live``), and where the anchor is (``pin``). Contexts are
 gathered by anchor; equal windows are always gathered together.
 
-An anchor in more than ``hot`` texts is not gathered at once. Equal contexts are first made
+An anchor that occurs more than ``hot`` times, in one text or many, is not gathered at once. Equal contexts are first made
 one (with map-side partial sums), then the windows are dealt by a longer piece of what they
 have in common: windows whose distance to the anchor lies in [a, b] all hold the units
 from ``a`` before the anchor to ``window - b`` after it. The range is cut until a
@@ -23,12 +23,14 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
-from corpuscade.llm.common import WordHashes, digest, mix, per_batch, words
+from corpuscade.llm.common import digest, hashed_words, mix, sliced
 from corpuscade.session import materialize
 
 _BASE = 0x9E3779B97F4A7C15
 _BYTES = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93))
 _BLOCK = 1 << 19
+#: Bytes of texts that are looked at together.
+STEP = 1 << 20
 _PLACES = np.uint64((1 << 21) - 1)
 CUT = 4
 
@@ -65,9 +67,8 @@ def text_keys(name: str = "text") -> tuple[Column, Column]:
     return F.xxhash64(digest(name), F.lit(1)).alias("t1"), F.xxhash64(digest(name), F.lit(2)).alias("t2")
 
 
-def seed_hashes(spec: Spec, units: bytes | list[bytes], known: WordHashes) -> np.ndarray:
-    """A hash of each run of ``seed`` units (polynomial, by doubling)."""
-    h = known.of(units) if spec.by_words else _BYTES[np.frombuffer(units, np.uint8)]
+def seed_hashes(spec: Spec, h: np.ndarray) -> np.ndarray:
+    """A hash of each run of ``seed`` units (polynomial, by doubling) from the units' own."""
     length = 1
     while length < spec.seed:
         h = h[:-length] * np.uint64(pow(_BASE, length, 1 << 64)) + h[length:]
@@ -75,6 +76,17 @@ def seed_hashes(spec: Spec, units: bytes | list[bytes], known: WordHashes) -> np
     return mix(h)
 
 
+def unit_hashes(spec: Spec, column: pa.Array) -> Iterator[np.ndarray]:
+    """For each text of a binary column a hash of each of its units."""
+    if spec.by_words:
+        h, sizes = hashed_words(column)
+        for end, n in zip(np.cumsum(sizes).tolist(), sizes.tolist()):
+            yield h[end - n : end]
+    else:
+        for text in column:
+            yield _BYTES[np.frombuffer(text.as_py(), np.uint8)]
+
+
 def anchors(spec: Spec, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(anchor, first window, last window) of each run of windows with one anchor."""
     width = spec.widest + 1
@@ -100,30 +112,27 @@ def anchors(spec: Spec, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarr
 def _anchor_rows(texts: DataFrame, spec: Spec) -> DataFrame:
     """(h, t1, t2, n): the anchors of each text, each once, with how often it has them."""
 
-    def make() -> Callable[[pa.RecordBatch], dict]:
-        known = WordHashes()
-
-        def step(batch: pa.RecordBatch) -> dict:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in sliced(batches, "data", STEP):
             found, times, sizes = [], [], []
-            for text in batch.column("data"):
-                h = seed_hashes(spec, units, known) if len(units := spec.units(text.as_py())) >= spec.window else np.empty(0, np.uint64)
-                each, n = np.unique(h[anchors(spec, h)[0]].view(np.int64), return_counts=True)
-                found.append(each)
-                times.append(n)
-                sizes.append(len(each))
+            for h in unit_hashes(spec, batch.column("data")):
+                h = seed_hashes(spec, h) if len(h) >= spec.window else h[:0]
+                own = np.sort(h[anchors(spec, h)[0]].view(np.int64))
+                first = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]])[: len(own)])
+                found.append(own[first])
+                times.append(np.diff(np.append(first, len(own))))
+                sizes.append(len(first))
             t1, t2 = (np.repeat(batch.column(c).to_numpy(), sizes) for c in ("t1", "t2"))
             n = np.minimum(np.concatenate(times), 1 << 20).astype(np.int32)
-            return {"h": np.concatenate(found), "t1": t1, "t2": t2, "n": n}
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in (np.concatenate(found), t1, t2, n)], ["h", "t1", "t2", "n"])
 
-        return step
+    return texts.mapInArrow(run, "h long, t1 long, t2 long, n int")
 
-    return per_batch(texts, "h long, t1 long, t2 long, n int", make)
 
-
-def _contexts(spec: Spec, data: bytes, wanted: np.ndarray, known: WordHashes) -> Iterator[tuple]:
+def _contexts(spec: Spec, data: bytes, hashes: np.ndarray, wanted: np.ndarray) -> Iterator[tuple]:
     """(anchor hash, pin, live, starts, context) of each different context with a wanted anchor."""
     units = spec.units(data)
-    h = seed_hashes(spec, units, known)
+    h = seed_hashes(spec, hashes)
     at, first, last = anchors(spec, h)
     own = h[at].view(np.int64)
     seen: dict[tuple, list[int]] = {}
@@ -137,12 +146,12 @@ def _contexts(spec: Spec, data: bytes, wanted: np.ndarray, known: WordHashes) ->
 
 def _context_rows(candidates: DataFrame, spec: Spec, wanted: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, rows, held = WordHashes(), [], 0
-        for batch in batches:
-            for row in batch.to_pylist():
+        rows, held = [], 0
+        for batch in sliced(batches, "data", STEP):
+            for row, h in zip(batch.to_pylist(), unit_hashes(spec, batch.column("data"))):
                 if not row[wanted]:
                     continue
-                for key, pin, live, starts, ctx in _contexts(spec, row["data"], np.array(row[wanted], np.int64), known):
+                for key, pin, live, starts, ctx in _contexts(spec, row["data"], h, np.array(row[wanted], np.int64)):
                     rows.append((key, 0, spec.widest, pin, live, row["t1"], row["t2"], row["ord"], starts, ctx))
                     held += len(ctx)
                     if held > 8 << 20:
@@ -295,9 +304,9 @@ def repeated_spans(
     """
     rows = materialize(_anchor_rows(docs.select("t1", "t2", "data"), spec), "anchors")
     each = rows.groupBy("h").agg(
-        F.min("t1").alias("low"), F.max("t1").alias("high"), F.max("n").alias("most"), F.count("*").alias("texts")
+        F.min("t1").alias("low"), F.max("t1").alias("high"), F.max("n").alias("most"), F.sum("n").alias("times")
     )
-    shared = each.where(flag).select("h", (F.col("texts") > spec.hot).alias("busy"))
+    shared = each.where(flag).select("h", (F.col("times") > spec.hot).alias("busy"))
     # A common anchor's rows are split over tasks by adaptive execution (no order is asked for here).
     own = rows.select("h", "t1", "t2").join(shared, "h")
     lists = own.groupBy("t1", "t2").agg(

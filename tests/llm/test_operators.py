@@ -130,6 +130,58 @@ def test_fertility_bands(spark):
     assert all(kept[i] for i in range(40)) and not (kept[100] and kept[101])
 
 
+def test_fertility_verdict_is_that_of_plain_measures(docs, rows):
+    """Both vocabularies and the verdict from the libraries themselves, word by word."""
+    import math
+    import statistics
+
+    import public_tokenizers as P
+    import sentencepiece
+    import tiktoken
+
+    pieces = sentencepiece.SentencePieceProcessor(model_file=P.path(fertility.VOCABULARY))
+    with open(P.path(fertility.BYTE_VOCABULARY), "rb") as file:
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, file)}
+    pairs = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    found = {}
+    for i, text, lang, *_ in rows:
+        w = words(text)
+        ids = [t for x in w for t in pieces.encode(x)]
+        own = [t for x in w for t in pairs.encode_ordinary(" " + x)]
+        chars, times = sum(map(len, w)), Counter(ids)
+        entropy = -sum(n / len(ids) * math.log2(n / len(ids)) for n in times.values())
+        broken = sum("\ufffd" in pairs.decode_single_token_bytes(t).decode("utf-8", "replace") for t in own)
+        ratios = (chars / len(ids), sum(map(pieces.is_byte, ids)) / len(ids), entropy, chars / len(own), broken / len(own)) if ids else (None,) * 5
+        found.setdefault(i, []).append((lang, len(ids), len(own), ratios))
+    got = fertility.fertility(docs).collect()
+    by_lang = {}
+    for r in got:
+        want = found[r["doc_id"]]
+        mine = (r["n_tokens"], r["n_byte_tokens"])
+        ratios = [r[c] for c in ("chars_per_token", "byte_share", "entropy", "chars_per_byte_token", "broken_share")]
+        assert any(mine == (n, m) and (x[0] is None or np.allclose(ratios, x)) for _, n, m, x in want)
+        if not r["base_failed"] and r["n_tokens"]:
+            by_lang.setdefault(r["lang"], []).append(r)
+
+    def band(values):
+        steps = sorted(round(v * fertility.STEPS) for v in values)
+        low, middle, high = statistics.quantiles(steps, n=4, method="inclusive") if len(steps) > 1 else steps * 3
+        reach = max(fertility.DEVIATIONS * (high - low) / 1.349, fertility.LEAST_REACH * middle)
+        return (middle - reach) / fertility.STEPS, (middle + reach) / fertility.STEPS
+
+    for r in got:
+        kept = not r["base_failed"] and r["n_tokens"] > 0
+        if kept:
+            low, high, most_bytes, least = fertility.BANDS[r["script"]]
+            kept &= low <= r["chars_per_token"] <= high and r["byte_share"] <= most_bytes and r["entropy"] >= least
+            low, high, most_broken = fertility.BYTE_BANDS[r["script"]]
+            kept &= low <= r["chars_per_byte_token"] <= high and r["broken_share"] <= most_broken
+            for c in ("chars_per_token", "chars_per_byte_token"):
+                low, high = band([x[c] for x in by_lang[r["lang"]]])
+                kept &= low <= r[c] <= high
+        assert r["kept"] == kept, r
+
+
 # 3 ---------------------------------------------------------------------------------------
 
 
@@ -175,14 +227,63 @@ def test_repeated_bytes(docs, rows, none, window, hot):
     assert run_index.removed(none).count() == 0
 
 
-def test_cleaned_texts_keep_their_rows(docs, rows):
-    found = run_index.cleaned(docs).collect()
+def test_texts_without_repeated_bytes_keep_their_rows(docs, rows):
+    found = run_index.without_repeats(docs).collect()
     assert len(found) == len(rows) and found[0].asDict().keys() == docs.first().asDict().keys()
     by_id = {r["doc_id"]: r for r in found}
     assert by_id[0]["text"] is None and by_id[5]["text"] == "" and by_id[21]["text"] == rows[21][1]
     assert all(r["n_chars"] == len(r["text"]) for r in found if r["text"] is not None)
 
 
+@pytest.mark.parametrize(("window", "hot"), [(50, 1_800), (50, 1), (12, 2)])
+def test_cleaned_texts_lose_what_earlier_documents_have(docs, rows, none, window, hot, monkeypatch):
+    monkeypatch.setattr(run_index.passages, "__defaults__", (run_index.PASSAGE, hot, True))
+    found = run_index.cleaned(docs, window).collect()
+    assert len(found) == len(rows) and found[0].asDict().keys() == docs.first().asDict().keys()
+    want = without_earlier(rows, window)
+    before = {r[:2] for r in rows}
+    got = Counter((r["doc_id"], sha(" ".join(words(r["text"])).encode())) for r in found)
+    assert got == _tail(want)
+    assert all(r["n_chars"] == len(r["text"]) for r in found if r["text"] is not None)
+    # A text that loses nothing stays as it is, white space and all.
+    whole = {(i, k) for i, _, gone, k in want if not gone}
+    for r in found:
+        if (r["doc_id"], sha(" ".join(words(r["text"])).encode())) in whole:
+            assert (r["doc_id"], r["text"]) in before
+    counted = run_index.repeated_words(docs, window).collect()
+    sizes = Counter((r["doc_id"], r["n_repeated_words"]) for r in counted)
+    assert sizes == Counter(x for (i, _, gone, _), n in want.items() for x in [(i, gone)] * n)
+    assert run_index.cleaned(none, window).count() == 0 and run_index.repeated_words(none).count() == 0
+
+
+def _tail(want):
+    out = Counter()
+    for (i, _, _, kept), n in want.items():
+        out[i, kept] += n
+    return out
+
+
+def test_one_text_with_one_anchor_over_and_over(spark):
+    """Occurrences in one text are cut like those in many: no index grows beyond its bound."""
+    import pyarrow as pa
+
+    from corpuscade.llm import repeats
+
+    rnd, spec = random.Random(3), repeats.Spec(200, 64, by_words=False, hot=50)
+    part = lambda k: "".join(rnd.choice("ijklmnop") for _ in range(k))
+    # Of many strings the one with the least hash, so that windows pick it as their anchor.
+    strings = [part(64) for _ in range(4000)]
+    hashes = [int(repeats.seed_hashes(spec, h)[0]) for h in repeats.unit_hashes(spec, pa.array([s.encode() for s in strings]))]
+    seed = strings[int(np.argmin(np.array(hashes, np.uint64)))]
+    text = "".join(seed + part(60) for _ in range(500)) + (tail := seed + part(300)) + part(50) + tail
+    df = spark.createDataFrame([(1, text, None), (2, other := part(500), None)], "doc_id long, text string, n_chars long")
+    rows = repeats._anchor_rows(run_index._identified(df).select("t1", "t2", "data"), spec)
+    assert rows.groupBy("h").agg(F.sum("n").alias("n")).orderBy(F.desc("n")).first()["n"] > 400
+    found = run_index.removed(df, window=200, hot=50).collect()
+    names = ("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    assert Counter(tuple(r[n] for n in names) for r in found) == without_repeats([(1, text), (2, other)], 200)
+
+
 def test_runs_are_fewer_in_repetitive_text():
     rnd = np.random.default_rng(1)
     part = rnd.integers(97, 123, 500).astype(np.uint8)
@@ -237,6 +338,17 @@ def test_extension_of_many_contexts_is_that_of_few(monkeypatch):
 # 6 ---------------------------------------------------------------------------------------
 
 
+@pytest.mark.parametrize("exact", [0, 512])
+def test_graphs_built_by_search_find_what_is_near(exact):
+    rnd = np.random.default_rng(1)
+    vectors = hnsw.raised(rnd.normal(size=(3000, 24)) * rnd.uniform(0.5, 2, (3000, 1)))
+    layers = hnsw.build(vectors, exact)
+    asked = rnd.normal(size=(60, 24)).astype(np.float32)
+    found = hnsw.search(vectors, layers, asked)
+    want = np.argsort(-(asked @ vectors[:, :-1].T), 1)[:, :20]
+    assert np.mean([len(set(a.tolist()) & set(b.tolist())) / 20 for a, b in zip(want, found)]) >= 0.9
+
+
 def test_nearest_neighbours(spark):
     rnd = np.random.default_rng(3)
     v = rnd.normal(size=(3000, 16)) + 2 * rnd.integers(0, 5, (3000, 1))
@@ -324,14 +436,14 @@ def test_accepted_documents_keep_their_columns(spark, docs):
 
 def _classes(rows):
     """By all pairs: equal texts, and weighted Jaccard similarity of at least 0.8."""
-    known, counts, n = icws.WordHashes(), np.zeros(icws.DEPTH << icws.WIDTH_BITS, np.int64), 0
+    counts, n = np.zeros(icws.DEPTH << icws.WIDTH_BITS, np.int64), 0
     for r in rows:
-        h, _ = icws.shingles(r[1], known)
+        h, _ = icws.shingles_of(r[1])
         if len(h):
             np.add.at(counts, icws.counters(h).ravel(), 1)
             n += 1
     rare = icws.Rarity(counts, n)
-    sets = [dict(zip(*map(list, icws.elements((r[1] or "").encode(), rare, known)))) for r in rows]
+    sets = [dict(zip(*map(list, icws.elements((r[1] or "").encode(), rare)))) for r in rows]
     group = list(range(len(rows)))
     for i in range(len(rows)):
         for j in range(i):
