@@ -26,7 +26,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def repeated_strings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the strings of 400 bytes that also start elsewhere."""
+    """Documents without the passages of 50 words or more that a document with a smaller doc_id has."""
     ship_package(spark)
     return run_index.cleaned(docs)
 
