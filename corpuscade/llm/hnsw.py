@@ -9,6 +9,7 @@ Equal vectors are one node. All steps take many vectors at once.
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -17,12 +18,12 @@ from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 from corpuscade.llm.common import table
 from corpuscade.session import materialize
 
-#: Vectors in a shard at most (about), shards at least, and queries searched at once.
+#: Vectors in a shard at most (about), shards at least, and queries searched together.
 SHARD_ROWS, LEAST_SHARDS, QUERY_BLOCK = 50_000, 6, 2_048
 LINKS, SHRINK, WIDTH_BUILD, WIDTH_SEARCH = 32, 16, 64, 128
 BATCH, AT_ONCE = 256, 4
 #: The first nodes of a layer choose among all before them, in one matrix product; later ones search.
-EXACT_ROWS = 8_192
+EXACT_ROWS = 512
 #: The longest vectors of a shard, where every search starts, too.
 LONGEST = 32
 K = 20
@@ -166,10 +167,11 @@ def layer_sizes(n: int) -> list[int]:
     return sizes
 
 
-def build(vectors: np.ndarray) -> list[np.ndarray]:
+def build(vectors: np.ndarray, exact: int = EXACT_ROWS) -> list[np.ndarray]:
     """Neighbour arrays of all layers, from the whole shard to the smallest.
 
     ``vectors`` (raised) are in random order, and the first ones make up the upper layers.
+    ``exact``: so many nodes of a layer choose among all before them; all others search the graph.
     """
     sizes, layers = layer_sizes(len(vectors)), []
     for size in reversed(sizes):
@@ -177,7 +179,7 @@ def build(vectors: np.ndarray) -> list[np.ndarray]:
         at = 0
         while at < size:
             rows = np.arange(at, min(size, at + min(BATCH, max(BATCH // 4, at))))
-            if at + len(rows) <= EXACT_ROWS:
+            if at + len(rows) <= max(exact, len(rows)):
                 ids, scores = _exact(vectors, rows, at + len(rows), WIDTH_BUILD)
             else:
                 entry = descend(vectors, layers, vectors[rows], at)
@@ -264,49 +266,68 @@ def index(rows: DataFrame, k: int = K) -> DataFrame:
 RESULT = "query_id long, vec_id long, score double"
 
 
+class Shard:
+    """A shard's graph, read from its row of the index."""
+
+    def __init__(self, row: dict):
+        self.vectors = np.frombuffer(row["vectors"], np.float64).reshape(row["n"], -1)
+        self.raised = raised(self.vectors)
+        flat = np.frombuffer(row["links"], np.int32).reshape(-1, LINKS)
+        edges = np.cumsum([0, *layer_sizes(row["n"])])
+        self.layers = [flat[a:b] for a, b in zip(edges, edges[1:])]
+        self.ids, self.ends = np.frombuffer(row["ids"], np.int64), np.frombuffer(row["ends"], np.int64)
+
+    def nearest(self, own_ids: list[int], queries: np.ndarray, k: int) -> np.ndarray:
+        """(query id, vec id, score's bits) of the k best rows of each query, its own left out."""
+        out: list[np.ndarray] = [np.empty((3, 0), np.int64)]
+        ids, ends = self.ids, self.ends
+        for own, query, nodes in zip(own_ids, queries, search(self.raised, self.layers, queries.astype(np.float32))):
+            nodes = nodes[nodes >= 0]
+            scores = (self.vectors[nodes] * query).sum(1)
+            # The k + 1 best nodes have the k best rows, each node bringing all ids that can count.
+            best = np.lexsort((ids[ends[nodes - 1] * (nodes > 0)], -scores))[: k + 1]
+            spans = [ids[(ends[n - 1] if n else 0) : ends[n]] for n in nodes[best].tolist()]
+            vec = np.concatenate(spans)
+            score = np.repeat(scores[best], [len(s) for s in spans])
+            keep = vec != own
+            vec, score = vec[keep], score[keep]
+            top = np.lexsort((vec, -score))[:k]
+            out.append(np.stack([np.full(len(top), own), vec[top], score[top].view(np.int64)]))
+        return np.concatenate(out, 1)
+
+
 def nearest(rows: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
     """(query_id, rank, vec_id, score): the k best found for each query, its own row left out.
 
-    ``rows`` and ``queries`` have vec_id and v, as ``usable`` makes them. Scores are inner
-    products in double precision; ties go to the smaller vec_id. Empty tables give no rows.
-    A task holds one shard and one block of queries.
+    ``rows`` and ``queries`` have vec_id and v, as ``usable`` makes them; other columns are not
+    looked at. Scores are inner products in double precision; ties go to the smaller vec_id. Rows
+    that agree in id and vector count once for each. Empty tables give no rows. Each shard is read
+    once: its queries come after it, in order of a sort, and pass by in batches.
     """
     built = materialize(index(rows, k), "hnsw")
     shards = [r["shard"] for r in built.select("shard").collect()]
-    blocks = max(1, math.ceil(queries.count() / QUERY_BLOCK))
-    asked = queries.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int"))
-    asked = asked.withColumn("shard", F.explode(F.array(*map(F.lit, shards)).cast("array<int>")))
-    held = built.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-
-    def find(shard: pa.Table, block: pa.Table) -> pa.Table:
-        out: list[np.ndarray] = []
-        if len(shard) and len(block):
-            row = shard.to_pylist()[0]
-            wide = np.frombuffer(row["vectors"], np.float64).reshape(row["n"], -1)
-            flat = np.frombuffer(row["links"], np.int32).reshape(-1, LINKS)
-            edges = np.cumsum([0, *layer_sizes(row["n"])])
-            layers = [flat[a:b] for a, b in zip(edges, edges[1:])]
-            ids, ends = np.frombuffer(row["ids"], np.int64), np.frombuffer(row["ends"], np.int64)
-            v = block.column("v").combine_chunks()
-            q = v.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(v), -1)
-            found = search(raised(wide), layers, q.astype(np.float32))
-            for own, query, nodes in zip(block.column("vec_id").to_pylist(), q, found):
-                nodes = nodes[nodes >= 0]
-                scores = (wide[nodes] * query).sum(1)
-                # The k + 1 best nodes have the k best rows, each node bringing all ids that can count.
-                best = np.lexsort((ids[ends[nodes - 1] * (nodes > 0)], -scores))[: k + 1]
-                spans = [ids[(ends[n - 1] if n else 0) : ends[n]] for n in nodes[best].tolist()]
-                vec = np.concatenate(spans)
-                score = np.repeat(scores[best], [len(s) for s in spans])
-                keep = vec != own
-                vec, score = vec[keep], score[keep]
-                top = np.lexsort((vec, -score))[:k]
-                out.append(np.stack([np.full(len(top), own), vec[top], score[top].view(np.int64)]))
-        flat_out = np.concatenate(out, 1) if out else np.empty((3, 0), np.int64)
-        return pa.table({"query_id": flat_out[0], "vec_id": flat_out[1], "score": flat_out[2].view(np.float64)})
-
-    keys = ["shard", "block"]
-    found = held.groupBy(*keys).cogroup(asked.groupBy(*keys)).applyInArrow(find, RESULT)
+    asked = queries.select("vec_id", "v", F.explode(F.array(*map(F.lit, shards)).cast("array<int>")).alias("shard"))
+    both = built.withColumn("side", F.lit(0)).unionByName(asked.withColumn("side", F.lit(1)), allowMissingColumns=True)
+    dealt = both.repartition(max(1, len(shards)), "shard").sortWithinPartitions("shard", "side", "vec_id")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shard: Shard | None = None
+        for batch in batches:
+            sides = batch.column("side").to_numpy()
+            cuts = np.concatenate([[0], np.flatnonzero(np.diff(sides)) + 1, [len(sides)]]).tolist()
+            for a, b in zip(cuts, cuts[1:]):
+                part = batch.slice(a, b - a)
+                if b > a and sides[a] == 0:
+                    # Of shards without queries between, the last is the one whose queries follow.
+                    shard = Shard(part.slice(len(part) - 1).to_pylist()[0])
+                    continue
+                for at in range(0, len(part), QUERY_BLOCK):
+                    few = part.slice(at, QUERY_BLOCK)
+                    v = few.column("v").flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(few), -1)
+                    found = shard.nearest(few.column("vec_id").to_pylist(), v, k)
+                    yield pa.RecordBatch.from_arrays([*map(pa.array, found[:2]), pa.array(found[2].view(np.float64))], ["query_id", "vec_id", "score"])
+
+    found = dealt.mapInArrow(run, RESULT)
     best = W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     ranked = found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
     return ranked.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
