@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
-from pyspark.sql.types import ArrayType, BinaryType, MapType, StringType, StructType
+from pyspark.sql.types import ArrayType, BinaryType, MapType, NumericType, StringType, StructType
 
 from corpuscade.session import materialize
 
@@ -22,7 +22,9 @@ def fits_broadcast(
     """Measure ``df``: one map-side combined count of rows and bytes."""
     width = F.lit(0)
     for field in df.schema.fields:
-        if isinstance(field.dataType, (ArrayType, MapType, StructType)):
+        if isinstance(field.dataType, ArrayType) and isinstance(field.dataType.elementType, NumericType):
+            size = 8 * F.size(field.name)
+        elif isinstance(field.dataType, (ArrayType, MapType, StructType)):
             size = F.octet_length(F.to_json(F.struct(field.name)))
         elif isinstance(field.dataType, (StringType, BinaryType)):
             size = F.octet_length(field.name)

@@ -52,15 +52,18 @@ class Leaders:
         self.k, self.ids = k, ids
         self.rows: list[np.ndarray] | None = None  # id columns, question, score
 
-    def add(self, own: list[np.ndarray], scores: np.ndarray, matched: np.ndarray | None = None) -> None:
-        """Take in ``scores`` (chunks x questions); only ``matched`` cells count, if given."""
+    def add(
+        self, own: list[np.ndarray], scores: np.ndarray, matched: np.ndarray | None = None, asked: np.ndarray | None = None
+    ) -> None:
+        """Take in ``scores`` (chunks x questions); only ``matched`` cells count, if given. The
+        columns stand for the questions numbered ``asked``, by default for all."""
         scores = np.floor(scores * SCALE + 0.5) / SCALE + 0.0  # as rounded() has it
         wanted = np.ones(scores.shape, bool) if matched is None else matched
         scores = np.where(wanted, scores, -np.inf)
         if len(scores) > self.k:
             wanted = wanted & (scores >= -np.partition(-scores, self.k - 1, axis=0)[self.k - 1])
         chunk, question = np.nonzero(wanted)
-        new = [*[i[chunk] for i in own], question, scores[chunk, question]]
+        new = [*[i[chunk] for i in own], question if asked is None else asked[question], scores[chunk, question]]
         if self.rows is not None:
             new = [np.concatenate(pair) for pair in zip(self.rows, new)]
         *id_columns, question, score = new

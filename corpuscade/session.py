@@ -82,7 +82,28 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = fresh_dir(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table._scratch = path
+    return table
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+def discard(*tables: DataFrame) -> None:
+    """Remove what ``materialize`` wrote for these tables, once nothing reads them any more: a loop
+    does so with the tables of earlier rounds. Other tables are left alone."""
+    for table in tables:
+        if path := table.__dict__.pop("_scratch", None):
+            _delete(table.sparkSession, path)
+
+
+def remove_scratch(spark: SparkSession) -> None:
+    """Remove all that the running application wrote to the shared folder, indexes built there by
+    default included: for its end, when its results are written elsewhere or collected."""
+    _delete(spark, app_dir(spark, ""))
 
 
 def plain(df: DataFrame) -> DataFrame:

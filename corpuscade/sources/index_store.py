@@ -1,40 +1,74 @@
-"""The index: Parquet tables partitioned by namespace, with a registry.
-
-chunks     namespace, doc_id, chunk_no, n_tokens, n_terms, text, embedding
-postings   namespace, term, doc_id, chunk_no, tf, n_terms    range-laid by term
-terms      namespace, term, df, max_tf, min_terms
-documents  namespace, doc_id, text_sha                       written last
-registry   namespace, index_id, kind, n_chunks, n_terms
-pending    namespace, term: terms a refresh is about to count anew
+"""The index: generations of Parquet tables, and a registry that says which of them count.
+
+Every write goes into a folder of its own, a *generation*, and touches no other file. The
+registry is an append-only log: one row for a namespace names the generations (segments)
+that make it up, and the row of the latest generation holds. It is written last, as one
+file, so readers see a namespace either as it was or as it is after the whole write. What
+a broken write left behind is named by no row; ``sweep`` removes it.
+
+A refresh adds a generation with the documents that came in, and lists in ``removed`` the
+documents whose rows in earlier generations are dead. ``compact`` makes one generation of many.
+
+chunks     doc_id, chunk_no, n_tokens, n_terms, term_keys, tfs, text, embedding
+           term_keys and tfs are the forward index: a hash of each different term, in order
+           of first occurrence, and how often it occurs
+postings   term, its chunks in order as arrays (docs, chunk_nos, tfs, lengths), max_tf,
+           min_terms, first_doc, last_doc: blocks of at most BLOCK chunks, by term bucket
+terms      term, df (what this generation adds; below zero for what it takes), max_tf,
+           min_terms, by term bucket
+documents  doc_id, text_sha
+removed    doc_id
+registry   namespace, index_id, kind, n_chunks, n_terms, n_removed, segments
+
+All but the registry are laid out by generation and namespace.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+import time
+from collections.abc import Iterator
+from dataclasses import dataclass, field
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from corpuscade.functions import text as tx
-from corpuscade.session import materialize
 from corpuscade.operators.chunking import CHUNK_SIZE, chunk_documents
 from corpuscade.operators.embedding import embed_chunks, hashed_embedding
+from corpuscade.operators.skew import lookup_join
+from corpuscade.session import materialize
 
+_AT = "generation long, namespace string"
 SCHEMAS = {
-    "chunks": "doc_id long, chunk_no int, n_tokens int, n_terms int, text string, "
-    "embedding array<float>, namespace string",
-    "postings": "term string, doc_id long, chunk_no int, tf long, n_terms int, namespace string",
-    "terms": "term string, df long, max_tf long, min_terms int, namespace string",
-    "documents": "doc_id long, text_sha string, namespace string",
-    "pending": "term string, namespace string",
-    "registry": "index_id string, kind string, n_chunks long, n_terms long, namespace string",
+    "chunks": "doc_id long, chunk_no int, n_tokens int, n_terms int, term_keys array<long>, tfs array<int>, "
+    f"text string, embedding array<float>, {_AT}",
+    "postings": "term string, docs array<long>, chunk_nos array<int>, tfs array<int>, lengths array<int>, "
+    f"max_tf int, min_terms int, first_doc long, last_doc long, {_AT}, bucket int",
+    "terms": f"term string, df long, max_tf int, min_terms int, {_AT}, bucket int",
+    "documents": f"doc_id long, text_sha string, {_AT}",
+    "removed": f"doc_id long, {_AT}",
+    "registry": "namespace string, index_id string, kind string, n_chunks long, n_terms long, n_removed long, "
+    "segments array<struct<generation: long, buckets: int>>, generation long",
 }
 KINDS = ("vector", "list")
+#: Chunks in a block of postings.
+BLOCK = 128
+#: Postings that share a term bucket, about; there are at most MOST_BUCKETS.
+BUCKET_ROWS, MOST_BUCKETS = 2_000_000, 1_024
+#: A namespace of more segments, or with more removed documents than a quarter of its chunks, is compacted.
+MOST_SEGMENTS = 8
 
 
 @dataclass(frozen=True)
 class Index:
-    """One namespace, opened for reading."""
+    """One namespace, opened for reading: one state, whatever is written meanwhile.
+
+    ``chunks`` are the live ones. ``postings`` and ``terms`` hold what the segments hold;
+    ``dead`` (doc_id, dead_before) says which documents' rows of earlier generations to leave out.
+    """
 
     namespace: str
     kind: str
@@ -43,14 +77,40 @@ class Index:
     chunks: DataFrame
     postings: DataFrame
     terms: DataFrame
+    segments: list[tuple[int, int]] = field(default_factory=lambda: [(0, 1)])
+    dead: DataFrame | None = None
 
     @property
     def mean_terms(self) -> float:
         return self.n_terms / self.n_chunks if self.n_chunks else 1.0
 
+    def places(self, features: DataFrame) -> DataFrame:
+        """``features`` (feature, ...) once for each segment, with the generation and bucket
+        of its term there; the condition tells the optimizer that partitions can be pruned."""
+        segments = F.array(*[F.struct(F.lit(g).cast("long").alias("generation"), F.lit(b).alias("buckets")) for g, b in self.segments])
+        spread = features.select("*", F.explode(segments).alias("_s"))
+        bucket = term_bucket(F.col("feature"), F.col("_s.buckets"))
+        return spread.select(*features.columns, F.col("_s.generation").alias("generation"), bucket.alias("bucket")).where("bucket >= 0")
+
+    def stats(self, features: DataFrame, small: bool) -> DataFrame:
+        """feature, df, max_tf, min_terms of the asked ``features(feature)``."""
+        asked = self.places(features)
+        terms = self.terms.withColumnRenamed("term", "feature")
+        on = ["feature", "generation", "bucket"]
+        found = terms.join(F.broadcast(asked) if small else asked, on)
+        every = found.groupBy("feature").agg(
+            F.sum("df").alias("df"), F.max("max_tf").alias("max_tf"), F.min("min_terms").alias("min_terms")
+        )
+        return every.where("df > 0")
+
+
+def term_bucket(term: Column, buckets: Column | int) -> Column:
+    buckets = F.lit(buckets) if isinstance(buckets, int) else buckets
+    return F.pmod(F.xxhash64(term, F.lit(17)), buckets).cast("int")
+
 
 def table(spark: SparkSession, base: str, name: str) -> DataFrame:
-    """A table of the index; empty when nothing was written yet."""
+    """All rows of all generations, those that no longer or do not yet count among them."""
     try:
         return spark.read.schema(SCHEMAS[name]).parquet(f"{base}/{name}")
     except AnalysisException as missing:
@@ -59,65 +119,163 @@ def table(spark: SparkSession, base: str, name: str) -> DataFrame:
         return spark.createDataFrame([], SCHEMAS[name])
 
 
-def _write(df: DataFrame, base: str, name: str, mode: str) -> None:
-    (
-        df.write.mode(mode)
-        .option("partitionOverwriteMode", "dynamic")
-        .partitionBy("namespace")
-        .parquet(f"{base}/{name}")
-    )
+def current(spark: SparkSession, base: str) -> DataFrame:
+    """The row of each namespace that counts; a namespace without chunks has none."""
+    rows = table(spark, base, "registry")
+    last = rows.groupBy("namespace").agg(F.max_by(F.struct(*rows.columns), "generation").alias("r")).select("r.*")
+    return last.where("n_chunks > 0")
 
 
-def _replaced(df: DataFrame, base: str, name: str, touched: DataFrame) -> None:
-    """Put ``df`` in the place of the touched namespaces' rows; one that ends up empty goes."""
-    spark = df.sparkSession
-    # What is read may be what is overwritten, so the new rows are written elsewhere first.
-    rows = materialize(df.select(*spark.createDataFrame([], SCHEMAS[name]).columns), f"index-{name}")
-    emptied = touched.join(rows.select("namespace").distinct(), "namespace", "left_anti")
-    everywhere = table(spark, base, name)
-    if emptied.isEmpty():
-        # Clustered by namespace and term or document, with a part for each few rows of one.
-        _write(rows, base, name, "overwrite")
-        return
-    others = everywhere.join(touched, "namespace", "left_anti")
-    rows.unionByName(materialize(others, f"index-{name}")).write.mode("overwrite").option(
-        "partitionOverwriteMode", "static"
-    ).partitionBy("namespace").parquet(f"{base}/{name}")
+def live(spark: SparkSession, base: str, name: str) -> DataFrame:
+    """The rows of all namespaces that count now, ``postings`` one row a chunk and ``terms`` summed up."""
+    rows = current(spark, base)
+    used = materialize(rows.select("namespace", F.explode("segments").alias("s")).select("namespace", "s.generation"), "segments")
+    found = lookup_join(table(spark, base, name), used, ["namespace", "generation"])
+    if name == "terms":
+        return found.groupBy("namespace", "term").agg(
+            F.sum("df").alias("df"), F.max("max_tf").alias("max_tf"), F.min("min_terms").alias("min_terms")
+        ).where("df > 0")
+    if name == "postings":
+        found = opened(found, "namespace", "generation")
+    gone = lookup_join(table(spark, base, "removed"), used, ["namespace", "generation"])
+    return without_dead(found, gone.groupBy("namespace", "doc_id").agg(F.max("generation").alias("dead_before")), ["namespace", "doc_id"])
 
 
-def _chunked(docs: DataFrame, chunk_size: int, overlap: int, embed) -> DataFrame:
-    chunks = chunk_documents(docs.select("namespace", "doc_id", "text"), chunk_size, overlap)
-    return embed_chunks(chunks.withColumn("n_terms", F.size(tx.terms(F.col("text")))), embed=embed).select(
-        "doc_id", "chunk_no", "n_tokens", "n_terms", "text", "embedding", "namespace"
-    )
+def opened(postings: DataFrame, *keep: str) -> DataFrame:
+    """Blocks of postings as a row for each chunk: term, doc_id, chunk_no, tf, n_terms."""
+    each = F.explode(F.arrays_zip("docs", "chunk_nos", "tfs", "lengths")).alias("p")
+    return postings.select("term", *keep, each).select(
+        "term", *keep, F.col("p.docs").alias("doc_id"), F.col("p.chunk_nos").alias("chunk_no"),
+        F.col("p.tfs").alias("tf"), F.col("p.lengths").alias("n_terms"),
+    )
 
 
-def _postings(chunks: DataFrame) -> DataFrame:
-    return (
-        chunks.select("namespace", "doc_id", "chunk_no", "n_terms", F.explode(tx.terms(F.col("text"))).alias("term"))
-        .groupBy("namespace", "doc_id", "chunk_no", "n_terms", "term")
-        .agg(F.count("*").alias("tf"))
-    )
+def without_dead(rows: DataFrame, dead: DataFrame, on: list[str]) -> DataFrame:
+    """Leave out rows of generations before the one that removed or replaced their document."""
+    met = lookup_join(rows, dead, on, "left")
+    return met.where(F.coalesce("dead_before", F.lit(0)) <= F.col("generation")).drop("dead_before")
 
 
-def _laid(postings: DataFrame) -> DataFrame:
-    """Range layout over (term, chunk): a term of very many chunks spreads over many files."""
-    order = ("namespace", "term", "doc_id", "chunk_no")
-    return postings.repartitionByRange(*order).sortWithinPartitions(*order)
+def _write(df: DataFrame, base: str, name: str, generation: int, *by: str) -> None:
+    """Write rows as a generation of ``name``: into a folder that nobody reads or wrote to."""
+    df.drop("generation").write.partitionBy("namespace", *by).parquet(f"{base}/{name}/generation={generation}")
 
 
-def _term_stats(postings: DataFrame) -> DataFrame:
-    return postings.groupBy("namespace", "term").agg(
-        F.count("*").alias("df"), F.max("tf").alias("max_tf"), F.min("n_terms").alias("min_terms")
-    )
+def _publish(rows: DataFrame, base: str, generation: int) -> None:
+    """Make a generation count: the namespaces' new rows, in one file, at once."""
+    names = [n for n in rows.sparkSession.createDataFrame([], SCHEMAS["registry"]).columns if n != "generation"]
+    rows.select(*names).coalesce(1).write.parquet(f"{base}/registry/generation={generation}")
 
 
-def _registered(chunks: DataFrame, kinds: DataFrame) -> DataFrame:
-    """Registry rows of the namespaces in ``kinds(namespace, kind)`` that have chunks."""
-    counts = chunks.groupBy("namespace").agg(F.count("*").alias("n_chunks"), F.sum("n_terms").alias("n_terms"))
-    return counts.join(kinds, "namespace").withColumn(
-        "index_id", F.md5(F.concat_ws(":", F.col("namespace"), F.col("kind")))
-    )
+def _next_generation(spark: SparkSession, base: str) -> int:
+    """A number no write had before, larger than all that count."""
+    last = table(spark, base, "registry").agg(F.max("generation")).first()[0] or 0
+    return max(last + 1, time.time_ns())
+
+
+def _forward_udf():
+    @F.arrow_udf("array<int>")
+    def frequencies(keys: pa.Array) -> pa.Array:
+        """How often each different key occurs, in order of first occurrence."""
+        sizes = pc.list_value_length(keys).fill_null(0).to_numpy().astype(np.int64)
+        flat = keys.flatten().to_numpy(zero_copy_only=False)
+        row = np.repeat(np.arange(len(sizes)), sizes)
+        order = np.lexsort((flat, row))
+        flat, row = flat[order], row[order]
+        first = np.flatnonzero(np.concatenate([[True], (flat[1:] != flat[:-1]) | (row[1:] != row[:-1])])[: len(flat)])
+        times = np.diff(np.concatenate([first, [len(flat)]]))
+        place = np.argsort(order[first], kind="stable")  # lexsort is stable: a run starts at its first occurrence
+        ends = np.concatenate([[0], np.cumsum(np.bincount(row[first], minlength=len(sizes)))])
+        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(times[place], pa.int32()))
+
+    return frequencies
+
+
+def _chunked(docs: DataFrame, chunk_size: int, overlap: int, embed) -> DataFrame:
+    chunks = chunk_documents(docs.select("namespace", "doc_id", "text"), chunk_size, overlap)
+    keyed = chunks.withColumn("_keys", F.transform(tx.terms(F.col("text")), lambda t: F.xxhash64(t)))
+    counted = keyed.withColumn("tfs", _forward_udf()("_keys"))
+    return embed_chunks(counted, embed=embed).select(
+        "doc_id", "chunk_no", "n_tokens", F.size("_keys").alias("n_terms"),
+        F.array_distinct("_keys").alias("term_keys"), "tfs", "text", "embedding", "namespace",
+    )
+
+
+_POSTINGS = "namespace string, bucket int, term string, docs array<long>, chunk_nos array<int>, tfs array<int>, lengths array<int>"
+
+
+def _blocks(chunks: DataFrame, buckets: int) -> DataFrame:
+    """Postings of the chunks in blocks: a range layout over (bucket, term, chunk), so a term of
+    very many chunks spreads over many files."""
+    named = F.arrays_zip(F.array_distinct(tx.terms(F.col("text"))).alias("term"), "tfs")
+    each = chunks.select("namespace", "doc_id", "chunk_no", "n_terms", F.explode(named).alias("p")).select(
+        "namespace", term_bucket(F.col("p.term"), buckets).alias("bucket"), F.col("p.term").alias("term"),
+        "doc_id", "chunk_no", F.col("p.tfs").alias("tf"), "n_terms",
+    )
+    order = ("namespace", "bucket", "term", "doc_id", "chunk_no")
+    laid = each.repartitionByRange(*order).sortWithinPartitions(*order)
+    block = BLOCK
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            columns = [batch.column(i) for i in range(3)]
+            new = np.ones(batch.num_rows, bool)
+            new[1:] = False
+            for c in columns:
+                new[1:] |= pc.not_equal(c.slice(1), c.slice(0, len(c) - 1)).to_numpy(zero_copy_only=False)
+            heads = np.flatnonzero(new)
+            place = np.arange(batch.num_rows) - np.repeat(heads, np.diff(np.concatenate([heads, [batch.num_rows]])))
+            at = np.flatnonzero(place % block == 0)
+            cut = pa.array(np.concatenate([at, [batch.num_rows]]), pa.int32())
+            lists = [pa.ListArray.from_arrays(cut, batch.column(i)) for i in range(3, 7)]
+            yield pa.RecordBatch.from_arrays([*(c.take(pa.array(at)) for c in columns), *lists], ["namespace", "bucket", "term", "docs", "chunk_nos", "tfs", "lengths"])
+
+    return laid.mapInArrow(run, _POSTINGS).select(
+        "term", "docs", "chunk_nos", "tfs", "lengths", F.array_max("tfs").alias("max_tf"), F.array_min("lengths").alias("min_terms"),
+        F.element_at("docs", 1).alias("first_doc"), F.element_at("docs", -1).alias("last_doc"), "namespace", "bucket",
+    )
+
+
+def _write_rows(chunks: DataFrame, documents: DataFrame, base: str, generation: int, taken: DataFrame | None = None) -> int:
+    """Write chunks, postings, terms and documents of a generation; its number of term buckets.
+
+    ``taken`` (namespace, term, df) are postings that die with this generation.
+    """
+    spark = chunks.sparkSession
+    here = F.col("generation") == generation
+    _write(chunks, base, "chunks", generation)
+    chunks = table(spark, base, "chunks").where(here)
+    n = chunks.agg(F.sum(F.size("term_keys"))).first()[0] or 0
+    buckets = min(MOST_BUCKETS, 1 << max(0, -(-n // BUCKET_ROWS) - 1).bit_length())
+    _write(_blocks(chunks, buckets), base, "postings", generation, "bucket")
+    counted = table(spark, base, "postings").where(here).groupBy("namespace", "bucket", "term").agg(
+        F.sum(F.size("docs")).cast("long").alias("df"), F.max("max_tf").alias("max_tf"), F.min("min_terms").alias("min_terms")
+    )
+    if taken is not None:
+        less = taken.select(
+            "namespace", term_bucket(F.col("term"), buckets).alias("bucket"), "term", (-F.col("df")).alias("df"),
+            F.lit(None).cast("int").alias("max_tf"), F.lit(None).cast("int").alias("min_terms"),
+        )
+        counted = counted.unionByName(less).groupBy("namespace", "bucket", "term").agg(
+            F.sum("df").alias("df"), F.max("max_tf").alias("max_tf"), F.min("min_terms").alias("min_terms")
+        )
+    _write(counted, base, "terms", generation, "bucket")
+    _write(documents.select("doc_id", "text_sha", "namespace"), base, "documents", generation)
+    return buckets
+
+
+def _index_id() -> Column:
+    return F.md5(F.concat_ws(":", F.col("namespace"), F.col("kind")))
+
+
+def _segment(generation: int, buckets: int) -> Column:
+    return F.struct(F.lit(generation).cast("long").alias("generation"), F.lit(buckets).alias("buckets"))
+
+
+def _counts(chunks: DataFrame) -> DataFrame:
+    return chunks.groupBy("namespace").agg(F.count("*").alias("n_chunks"), F.sum("n_terms").cast("long").alias("n_terms"))
 
 
 def create_index(
@@ -130,19 +288,21 @@ def create_index(
 ) -> None:
     """Build every namespace found in ``docs(namespace, doc_id, text)``, replacing old data.
 
-    A document is its (namespace, doc_id); documents with equal texts are all indexed.
+    A document is its (namespace, doc_id); documents with equal texts are all indexed. Until
+    the end of the last write the old data counts. A namespace without any chunk counts as none.
     """
     if kind not in KINDS:
         raise ValueError(f"unknown index kind {kind!r}; choose from {KINDS}")
     spark = docs.sparkSession
-    _write(_chunked(docs, chunk_size, overlap, embed), base, "chunks", "overwrite")
-    touched = docs.select("namespace").distinct()
-    chunks = table(spark, base, "chunks").join(touched, "namespace", "left_semi")
-    _write(_laid(_postings(chunks)), base, "postings", "overwrite")
-    _write(_term_stats(table(spark, base, "postings").join(touched, "namespace", "left_semi")), base, "terms", "overwrite")
-    _write(_registered(chunks, touched.withColumn("kind", F.lit(kind))), base, "registry", "overwrite")
+    generation = _next_generation(spark, base)
     hashes = docs.select("doc_id", F.sha2("text", 256).alias("text_sha"), "namespace")
-    _write(hashes, base, "documents", "overwrite")
+    buckets = _write_rows(_chunked(docs, chunk_size, overlap, embed), hashes, base, generation)
+    written = table(spark, base, "chunks").where(F.col("generation") == generation)
+    rows = docs.select("namespace").distinct().join(_counts(written), "namespace", "left").select(
+        "namespace", F.lit(kind).alias("kind"), F.coalesce("n_chunks", F.lit(0)).alias("n_chunks"), F.coalesce("n_terms", F.lit(0)).alias("n_terms"),
+        F.lit(0).cast("long").alias("n_removed"), F.array(_segment(generation, buckets)).alias("segments"),
+    )
+    _publish(rows.withColumn("index_id", _index_id()), base, generation)
 
 
 def refresh_index(
@@ -159,14 +319,13 @@ def refresh_index(
     A new document is added, one whose text changed is replaced, one that did not change is
     left alone; a document in both tables is removed. A namespace keeps its kind; ``kind`` is
     for new ones. Only chunks that come in are cut, embedded and read for terms, and only
-    terms of chunks that come or go are counted anew.
-
-    Every step replaces rows by (namespace, doc_id) and the text hashes, which tell what
-    is to be done, are written last: a refresh that broke off is made good by running it again.
+    their postings are written; of what goes, only ids and counts are. Namespaces whose
+    documents did not change are not touched. A refresh that breaks off changes nothing;
+    running it again starts anew. One refresh of an index runs at a time.
     """
     spark = docs.sparkSession
     key = ["namespace", "doc_id"]
-    known = table(spark, base, "documents")
+    known = materialize(live(spark, base, "documents").select(*key, "text_sha"), "index-known")
     hashed = docs.select(*key, "text", F.sha2("text", 256).alias("text_sha"))
     if removed is not None:
         hashed = hashed.join(removed.select(*key).distinct(), key, "left_anti")
@@ -174,84 +333,106 @@ def refresh_index(
     changed = hashed.join(old, key, "left").where(
         F.col("known").isNull() | ~F.col("text_sha").eqNullSafe(F.col("old_sha"))
     )
-    changed = materialize(changed.select(*key, "text", "text_sha"), "index-refresh")
-    out = changed.select(*key)
+    changed = materialize(changed.select(*key, "text", "text_sha", "known"), "index-refresh")
+    out = changed.where("known").select(*key)
     if removed is not None:
         out = out.unionByName(known.select(*key).join(removed.select(*key), key, "left_semi"))
     out = materialize(out.distinct(), "index-out")
-    if out.isEmpty():
+    touched = materialize(changed.select("namespace").union(out.select("namespace")).distinct(), "index-touched")
+    if touched.isEmpty():
         return
-    touched = materialize(out.select("namespace").distinct(), "index-touched")
-
-    def staying(name: str) -> DataFrame:
-        return table(spark, base, name).join(touched, "namespace", "left_semi").join(out, key, "left_anti")
-
-    incoming = materialize(_chunked(changed, chunk_size, overlap, embed), "index-chunks")
-    fresh = materialize(_postings(incoming), "index-postings")
-    # Noted down first: a run that breaks off takes the old postings with it.
-    gone = table(spark, base, "postings").join(out, key, "left_semi")
-    stale = materialize(
-        gone.select("namespace", "term").unionByName(fresh.select("namespace", "term")).distinct(), "index-terms"
+    before = materialize(lookup_join(current(spark, base), touched, ["namespace"], "left_semi"), "index-before")
+    generation = _next_generation(spark, base)
+    gone = materialize(
+        lookup_join(live(spark, base, "chunks").select(*key, "chunk_no", "n_terms", "text"), out, key, "left_semi"), "index-gone"
     )
-    _write(stale, base, "pending", "append")
-    stale = table(spark, base, "pending").join(touched, "namespace", "left_semi")
-    _replaced(staying("chunks").unionByName(incoming), base, "chunks", touched)
-    _replaced(_laid(staying("postings").unionByName(fresh)), base, "postings", touched)
-    at = ["namespace", "term"]
-    terms = table(spark, base, "terms").join(touched, "namespace", "left_semi")
-    postings = table(spark, base, "postings").join(touched, "namespace", "left_semi")
-    stale = stale.distinct()
-    counted = _term_stats(postings.join(stale, at, "left_semi"))
-    _replaced(terms.join(stale, at, "left_anti").unionByName(counted), base, "terms", touched)
-    kinds = table(spark, base, "registry").select("namespace", F.col("kind").alias("had"))
-    kinds = touched.join(kinds, "namespace", "left").select("namespace", F.coalesce("had", F.lit(kind)).alias("kind"))
-    chunks = table(spark, base, "chunks").join(touched, "namespace", "left_semi")
-    _replaced(_registered(chunks, materialize(kinds, "index-kinds")), base, "registry", touched)
-    _replaced(staying("documents").unionByName(changed.select("doc_id", "text_sha", "namespace")), base, "documents", touched)
-    _replaced(table(spark, base, "pending").limit(0), base, "pending", touched)
+    taken = gone.select("namespace", F.explode(F.array_distinct(tx.terms(F.col("text")))).alias("term"))
+    taken = taken.groupBy("namespace", "term").agg(F.count("*").alias("df"))
+    buckets = _write_rows(_chunked(changed, chunk_size, overlap, embed), changed, base, generation, taken)
+    _write(out, base, "removed", generation)
+    came = _counts(table(spark, base, "chunks").where(F.col("generation") == generation))
+    went = _counts(gone).withColumnsRenamed({"n_chunks": "out_chunks", "n_terms": "out_terms"})
+    lost = out.groupBy("namespace").agg(F.count("*").alias("lost"))
+    had = before.select("namespace", "kind", F.col("n_chunks").alias("had_chunks"), F.col("n_terms").alias("had_terms"), "n_removed", "segments")
+    rows = touched.join(had, "namespace", "left").join(came, "namespace", "left").join(went, "namespace", "left").join(lost, "namespace", "left")
+    some = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("long")
+    none = F.array().cast("array<struct<generation: long, buckets: int>>")
+    rows = rows.select(
+        "namespace", F.coalesce("kind", F.lit(kind)).alias("kind"),
+        (some("had_chunks") + some("n_chunks") - some("out_chunks")).alias("n_chunks"),
+        (some("had_terms") + some("n_terms") - some("out_terms")).alias("n_terms"),
+        (some("n_removed") + some("lost")).alias("n_removed"),
+        F.concat(F.coalesce("segments", none), F.array(_segment(generation, buckets))).alias("segments"),
+    )
+    _publish(rows.withColumn("index_id", _index_id()), base, generation)
+    full = (F.size("segments") > MOST_SEGMENTS) | (F.col("n_removed") * 4 > F.col("n_chunks"))
+    due = materialize(lookup_join(current(spark, base).where(full), touched, ["namespace"], "left_semi").select("namespace"), "index-due")
+    if not due.isEmpty():
+        compact(spark, base, due)
+
+
+def compact(spark: SparkSession, base: str, namespaces: DataFrame) -> None:
+    """Make one generation of the segments of each of ``namespaces(namespace)``; nothing is embedded anew."""
+    generation = _next_generation(spark, base)
+    wanted = materialize(namespaces.select("namespace").distinct(), "index-compact")
+    own = lambda name: lookup_join(live(spark, base, name), wanted, ["namespace"], "left_semi")
+    buckets = _write_rows(own("chunks"), own("documents"), base, generation)
+    rows = lookup_join(current(spark, base), wanted, ["namespace"], "left_semi").select(
+        "namespace", "index_id", "kind", "n_chunks", "n_terms",
+        F.lit(0).cast("long").alias("n_removed"), F.array(_segment(generation, buckets)).alias("segments"),
+    )
+    _publish(materialize(rows, "index-compacted"), base, generation)
+
+
+def sweep(spark: SparkSession, base: str, older_than_hours: float = 24.0) -> int:
+    """Remove generations that no namespace's current row names; how many folders went.
+
+    Only folders untouched for ``older_than_hours`` go, so readers that opened an index
+    before a refresh, and writes under way, keep their files for that long.
+    """
+    rows = current(spark, base)
+    used = {r[0] for r in rows.select(F.explode("segments").alias("s")).select("s.generation").distinct().collect()}
+    used |= {r[0] for r in rows.select("generation").distinct().collect()}
+    jvm = spark.sparkContext._jvm
+    files = jvm.org.apache.hadoop.fs.Path(base).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    latest = time.time() * 1000 - older_than_hours * 3_600_000
+    gone = 0
+    for name in SCHEMAS:
+        if name == "registry":
+            continue  # a log, small, and the record of what was
+        path = jvm.org.apache.hadoop.fs.Path(f"{base}/{name}")
+        for status in files.listStatus(path) if files.exists(path) else []:
+            folder = status.getPath().getName()
+            if folder.startswith("generation=") and int(folder.partition("=")[2]) not in used and status.getModificationTime() <= latest:
+                files.delete(status.getPath(), True)
+                gone += 1
+    return gone
 
 
 def registry(spark: SparkSession, base: str, asked: DataFrame) -> DataFrame:
-    """For each asked namespace its registry row and whether an index exists.
-
-    An index exists when it is registered and its chunks can be read.
-    """
+    """For each asked namespace its registry row and whether an index exists: one that has chunks."""
+    rows = current(spark, base).select("namespace", "index_id", "kind", "n_chunks")
     wanted = asked.select("namespace").distinct()
-    filled = (
-        table(spark, base, "chunks").join(wanted, "namespace", "left_semi").groupBy("namespace").agg(F.count("*").alias("_rows")).where("_rows > 0")
-    )
-    return (
-        wanted
-        .join(table(spark, base, "registry"), "namespace", "left")
-        .join(filled, "namespace", "left")
-        .select(
-            "namespace",
-            "index_id",
-            "kind",
-            "n_chunks",
-            (F.col("index_id").isNotNull() & F.col("_rows").isNotNull()).alias("index_exists"),
-        )
-    )
+    return wanted.join(rows, "namespace", "left").withColumn("index_exists", F.col("index_id").isNotNull())
 
 
 def index_exists(spark: SparkSession, base: str, namespace: str) -> bool:
-    here = F.col("namespace") == namespace
-    registered = not table(spark, base, "registry").where(here).isEmpty()
-    return registered and not table(spark, base, "chunks").where(here).isEmpty()
+    return not current(spark, base).where(F.col("namespace") == namespace).isEmpty()
 
 
 def load_index(spark: SparkSession, base: str, namespace: str) -> Index:
-    here = F.col("namespace") == namespace
-    row = table(spark, base, "registry").where(here).first()
+    row = current(spark, base).where(F.col("namespace") == namespace).first()
     if row is None:
         raise LookupError(f"no index named {namespace!r} under {base}")
-    return Index(
-        namespace,
-        row["kind"],
-        row["n_chunks"],
-        row["n_terms"],
-        *[table(spark, base, t).where(here).drop("namespace") for t in ("chunks", "postings", "terms")],
-    )
+    segments = [(s["generation"], s["buckets"]) for s in row["segments"]]
+    own = (F.col("namespace") == namespace) & F.col("generation").isin([g for g, _ in segments])
+    chunks, postings, terms = (table(spark, base, t).where(own).drop("namespace") for t in ("chunks", "postings", "terms"))
+    dead = None
+    if row["n_removed"]:
+        dead = table(spark, base, "removed").where(own).groupBy("doc_id").agg(F.max("generation").alias("dead_before"))
+        dead = materialize(dead, "index-dead")
+        chunks = without_dead(chunks, dead, ["doc_id"])
+    return Index(namespace, row["kind"], row["n_chunks"], row["n_terms"], chunks.drop("generation"), postings, terms, segments, dead)
 
 
 def create_or_load(docs: DataFrame, base: str, namespace: str, **options) -> Index:
