@@ -44,6 +44,18 @@ def overlap_score(question: Column, passage: Column) -> Column:
     return share(q, p) + share(tx.bigrams(q), tx.bigrams(p))
 
 
+def with_texts(candidates: DataFrame, questions: DataFrame, chunks: DataFrame) -> DataFrame:
+    """``q_id, doc_id, chunk_no, passage, question`` of candidates."""
+    ids = materialize(candidates.select("q_id", *CHUNK_ID), "candidates")
+    texts = chunks.select(*CHUNK_ID, F.col("text").alias("passage"))
+    if fits_broadcast(ids):
+        found = texts.join(F.broadcast(ids), list(CHUNK_ID))
+    else:
+        found = salted_join(ids, texts, list(CHUNK_ID))
+    asked = questions.select("q_id", F.col("text").alias("question"))
+    return lookup_join(found, asked, ["q_id"])
+
+
 def rerank(
     candidates: DataFrame,
     questions: DataFrame,
@@ -57,14 +69,7 @@ def rerank(
     in as an iterator pandas UDF. Candidates are written down as ids first: they are
     broadcast to the chunks only if they measure small, and question texts join last.
     """
-    ids = materialize(candidates.select("q_id", *CHUNK_ID), "candidates")
-    texts = chunks.select(*CHUNK_ID, F.col("text").alias("passage"))
-    if fits_broadcast(ids):
-        found = texts.join(F.broadcast(ids), list(CHUNK_ID))
-    else:
-        found = salted_join(ids, texts, list(CHUNK_ID))
-    asked = questions.select("q_id", F.col("text").alias("question"))
-    full = lookup_join(found, asked, ["q_id"])
+    full = with_texts(candidates, questions, chunks)
     scored = full.select(
         "q_id", *CHUNK_ID, "passage", F.round(scorer(F.col("question"), F.col("passage")), 6).alias("score")
     )
