@@ -6,11 +6,12 @@ A page never leaves its row, so none of this shuffles.
 from __future__ import annotations
 
 import json
-from functools import reduce
 from html.entities import html5
 
 from pyspark.sql import Column, functions as F
 
+from corpuscade.functions.elements import cut_elements
+
 # Elements that carry navigation or machinery, not content.
 BOILERPLATE = (
     "head", "script", "style", "noscript", "nav", "header", "footer", "aside", "form", "iframe",
@@ -34,13 +35,8 @@ OTHER_TAG_WEIGHT = 0.5
 
 
 def strip_boilerplate(html: Column) -> Column:
-    """Remove comments and boilerplate elements with everything inside them."""
-    bare = F.regexp_replace(html, r"(?s)<!--.*?-->", " ")
-    return reduce(
-        lambda c, tag: F.regexp_replace(c, rf"(?is)<{tag}\b[^>]*>.*?</{tag}>", " "),
-        BOILERPLATE,
-        bare,
-    )
+    """Remove comments and boilerplate elements with everything inside them, nested and unclosed ones too."""
+    return cut_elements(html, BOILERPLATE)
 
 
 def _character(point: Column) -> Column:

@@ -12,17 +12,11 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 # Path endings that never hold page content.
 NON_CONTENT_EXTENSIONS = (
-    # images
     ".jpg", ".jpeg", ".png", ".gif", ".svg", ".webp", ".ico", ".bmp", ".tiff",
-    # documents
     ".pdf", ".doc", ".docx", ".xls", ".xlsx", ".ppt", ".pptx", ".csv",
-    # archives
     ".zip", ".tar", ".gz", ".rar", ".7z",
-    # media
     ".mp3", ".mp4", ".avi", ".mov", ".wav", ".webm",
-    # static assets
     ".css", ".js", ".json", ".xml", ".woff", ".woff2", ".ttf", ".eot",
-    # executables/installers
     ".exe", ".dmg", ".apk",
 )
 
