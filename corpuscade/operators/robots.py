@@ -11,6 +11,7 @@ from pyspark.sql.types import ArrayType, BooleanType, IntegerType, StringType, S
 
 from corpuscade.functions.urls import path_with_query, with_normalized_url
 from corpuscade.operators.skew import lookup_join
+from corpuscade.session import materialize
 
 _PARSED = (
     StructType()
@@ -26,6 +27,8 @@ _PARSED_ARROW = pa.struct(
 # Directives that belong to a group without being a rule.
 PACING = ("crawl-delay", "request-rate")
 DEFAULT_SITEMAP = "/sitemap.xml"
+# Sites of more rules are looked up by prefixes.
+MANY_RULES = 64
 
 
 @dataclass
@@ -99,24 +102,41 @@ def parse_robots(texts: DataFrame) -> DataFrame:
 
 
 def with_allowed(
-    urls: DataFrame, robots: DataFrame, url: str = "url", out: str = "allowed", small: bool | None = None
-) -> DataFrame:
+    urls: DataFrame, robots: DataFrame, url: str = "url", out: str = "allowed", small: bool | None = None,
+    many: int = MANY_RULES,
+) -> DataFrame:
     """Add whether the site's rules allow ``url``. Both sides carry ``site``.
 
     The rules of a site travel as one array, so the join adds no rows, and the
-    order of the array decides.
+    order of the array decides. Sites of more than ``many`` rules are looked up by the URL's
+    prefixes instead, so that a URL costs no more there than elsewhere.
     """
-    ruled = lookup_join(
-        urls.withColumn("_path", path_with_query(F.col(url))),
-        robots.select("site", "rules"),
-        ["site"],
-        "left",
-        small=small,
-    )
-    matching = F.filter(
-        "rules", lambda r: (r["path"] == "*") | F.col("_path").startswith(r["path"])
-    )
-    return ruled.withColumn(out, F.coalesce(F.get(matching, F.lit(0))["allow"], F.lit(True))).drop("_path", "rules")
+    pathed = urls.withColumn("_path", path_with_query(F.col(url)))
+    few = robots.select("site", F.when(F.size("rules") <= many, F.col("rules")).alias("rules"))
+    ruled = lookup_join(pathed, few, ["site"], "left", small=small)
+    matching = F.filter("rules", lambda r: (r["path"] == "*") | F.col("_path").startswith(r["path"]))
+    ruled = ruled.withColumn(out, F.get(matching, F.lit(0))["allow"]).drop("rules")
+    long = robots.where(F.size("rules") > many).select("site", "rules")
+    if not long.isEmpty():
+        found = _by_prefix(pathed.select("site", "_path"), long)
+        ruled = lookup_join(ruled, found, ["site", "_path"], "left").withColumn(out, F.coalesce(out, "_first.allow")).drop("_first")
+    return ruled.withColumn(out, F.coalesce(out, F.lit(True))).drop("_path")
+
+
+def _by_prefix(paths: DataFrame, robots: DataFrame) -> DataFrame:
+    """``site, _path, _first``: the first rule whose path the URL's path begins with, from a table
+    of rule paths that is asked for the URL's prefixes of the lengths that the site's rules have."""
+    rules = robots.select("site", F.explode("rules").alias("r")).select("site", "r.*")
+    first = F.min(F.struct("rule_no", "allow")).alias("_rule")
+    table = materialize(rules.groupBy("site", F.col("path").alias("_prefix")).agg(first), "rule-paths")
+    lengths = table.groupBy("site").agg(F.collect_set(F.length("_prefix")).alias("_lengths"))
+    asked = lookup_join(paths.distinct(), lengths, ["site"])
+    fitting = F.filter("_lengths", lambda n: n <= F.length("_path"))
+    prefixes = F.transform(fitting, lambda n: F.substring("_path", F.lit(1), n))
+    # The rule "*" holds for every path.
+    probes = asked.select("site", "_path", F.explode(F.array_distinct(F.concat(prefixes, F.array(F.lit("*"))))).alias("_prefix"))
+    hits = lookup_join(probes, table, ["site", "_prefix"])
+    return hits.groupBy("site", "_path").agg(F.min("_rule").alias("_first"))
 
 
 def site_sitemaps(sites: DataFrame, robots: DataFrame) -> DataFrame:

@@ -12,12 +12,13 @@ from corpuscade.functions.urls import url_domain, with_normalized_url
 from corpuscade.operators.eligibility import with_skip_reason
 from corpuscade.operators.skew import lookup_join
 from corpuscade.operators.topk import first_per_key
-from corpuscade.session import materialize
+from corpuscade.session import discard, materialize
 
 # Fixed value: only elements of this namespace count.
 NAMESPACE = "{http://www.sitemaps.org/schemas/sitemap/0.9}"
 MALFORMED = "malformed XML"
 UNREACHABLE = "not reachable"
+# Fixed value: how the skip log begins the reason of a sitemap that could not be read.
 FAILED = "sitemap fetch/parse failed: "
 
 _PARSED = (
@@ -89,12 +90,14 @@ def expand_sitemaps(roots: DataFrame, parsed: DataFrame) -> DataFrame:
         )
         smallest = reached.groupBy(*key).agg(F.min(F.struct("path", "trail")).alias("s")).select(*key, "s.*")
         old = best.select(*key, F.col("path").alias("_old"))
+        earlier, improved = best, new
         new = materialize(
             smallest.join(old, key, "left").where("_old is null or path < _old").drop("_old"), "sitemaps"
         )
         if new.isEmpty():
             return best.drop("trail")
         best = materialize(best.join(new.select(*key), key, "left_anti").unionByName(new), "sitemaps")
+        discard(earlier, improved)
 
 
 def sitemap_entries(expanded: DataFrame, parsed: DataFrame) -> tuple[DataFrame, DataFrame]:
