@@ -28,6 +28,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     same = {
         "stream_page_dedup": f"SELECT DISTINCT norm_url FROM ({crawling_sql.LINK_NORMS})",
+        "stream_pages": f"""SELECT norm_url, page_id, url, markdown
+FROM (SELECT page_id, url, {crawling_sql.normal("url")} AS norm_url FROM pages)
+JOIN ({crawling_sql.ORACLE["page_markdown"]}) USING (page_id)
+QUALIFY row_number() OVER (PARTITION BY norm_url ORDER BY page_id) = 1""",
         "stream_questions": retrieval_sql.ORACLE["rerank_top3"],
     }
     return {**crawling_sql.ORACLE, **retrieval_sql.ORACLE, **same}

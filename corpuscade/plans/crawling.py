@@ -12,7 +12,7 @@ from corpuscade.functions.urls import (
     with_normalized_url,
     with_resolved_url,
 )
-from corpuscade.operators import frontier, robots as rb, sitemaps as sm
+from corpuscade.operators import crawl_log as crawl_log_, frontier, robots as rb, sitemaps as sm
 from corpuscade.operators.eligibility import with_skip_reason
 from corpuscade.operators.topk import first_per_key
 from corpuscade.plans import derived
@@ -66,15 +66,20 @@ def crawl_fetch(spark, sf_dir):
     return plain(pg.fetch(derived.candidates(pages), store).select("page_id", "pos", "url", "success", "error"))
 
 
-def crawled_pages(spark, sf_dir):
-    """Crawl the request list into a folder, in two crawls, and read what both left there."""
+def crawl_halves(spark, sf_dir):
+    """The request list as two crawls: for each its pages to be written, as Markdown."""
     pages = pg.read_pages(spark, sf_dir)
     fetched = materialize(pg.fetch(derived.requests(pages), pg.page_store(pages)), "fetched")
     half = fetched.agg(F.expr("cast(max(pos) / 2 as long)").alias("p")).first()["p"] or 0
+    for part in (F.col("pos") <= half, F.col("pos") > half):
+        yield pg.to_markdown(pg.with_html(pg.sink_winners(fetched.where(part), "pos"), pages))
+
+
+def crawled_pages(spark, sf_dir):
+    """Crawl the request list into a folder, in two crawls, and read what both left there."""
     out = fresh_dir(spark, "pages")
-    for crawl_id, part in (("1", F.col("pos") <= half), ("2", F.col("pos") > half)):
-        winners = pg.sink_winners(fetched.where(part), "pos")
-        pg.write_pages(pg.to_markdown(pg.with_html(winners, pages)), out, crawl_id)
+    for crawl_id, winners in enumerate(crawl_halves(spark, sf_dir), 1):
+        pg.write_pages(winners, out, str(crawl_id))
     return pg.read_written(spark, out)
 
 
@@ -122,6 +127,29 @@ def crawl_report(spark, sf_dir):
     )
 
 
+def _site_crawls(pages: DataFrame) -> DataFrame:
+    """The candidates as crawls, one for each site, with what fetching them gives."""
+    return pg.fetch(_judged_requests(pages), pg.page_store(pages)).withColumnRenamed("site", "crawl_id")
+
+
+def crawl_skips(spark, sf_dir):
+    """Every URL a site's crawl passed over, in order, and why."""
+    judged = _judged_requests(pg.read_pages(spark, sf_dir)).withColumnRenamed("site", "crawl_id")
+    return plain(crawl_log_.skips(judged.withColumnRenamed("pos", "link_pos"), ["page_id", "link_pos"]))
+
+
+def crawl_log(spark, sf_dir):
+    """The whole report of each site's crawl: what became of every URL, in order."""
+    fetched = _site_crawls(pg.read_pages(spark, sf_dir)).withColumnRenamed("pos", "link_pos")
+    return plain(crawl_log_.crawl_log(fetched, ["page_id", "link_pos"], OUTPUT_DIR))
+
+
+def html_nesting(spark, sf_dir):
+    """Boilerplate cut from pages in which it is nested, unclosed, and in comments and scripts."""
+    pages = derived.nested_pages(pg.read_pages(spark, sf_dir))
+    return pages.select("page_id", hx.strip_boilerplate(F.col("html")).alias("stripped"))
+
+
 def html_strip(spark, sf_dir):
     pages = pg.read_pages(spark, sf_dir)
     return pages.select("page_id", hx.strip_boilerplate(F.col("html")).alias("stripped"))
@@ -195,8 +223,8 @@ def sitemap_discovery(spark, sf_dir):
 def _walk(pages: DataFrame, sites: DataFrame):
     status = derived.graph_status(pages, pg.page_store(pages))
     return frontier.crawl_breadth_first(
-        sites,
-        materialize(derived.link_graph(pages), "links"),
+        materialize(sites, "sites"),
+        derived.link_graph(pages),
         materialize(status, "status"),
         _robots(pages),
         MAX_PAGES,
@@ -222,7 +250,8 @@ QUERIES = {
         f.__name__: f
         for f in (
             url_resolve, url_normalize, content_url_filter, url_dedup, crawl_fetch, page_sink,
-            crawl_manifest, crawl_eligibility, crawl_list, crawl_report, html_strip, block_prune,
+            crawl_manifest, crawl_eligibility, crawl_list, crawl_report, crawl_skips, crawl_log, html_strip, html_nesting,
+            block_prune,
             page_markdown, link_extract, link_internal, robots_rules, robots_allowed, robots_sitemaps,
             sitemap_parse, sitemap_expand, sitemap_discovery, bfs_crawl, site_discovery,
         )

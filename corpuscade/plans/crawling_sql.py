@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from corpuscade.functions import html as hx, urls
+from corpuscade.functions.elements import cut_elements_sql
 from corpuscade.operators import eligibility, sitemaps
 from corpuscade.plans import crawling, derived
 from corpuscade.sources import pages as pg
@@ -224,10 +225,7 @@ bfs_skipped AS (
 
 
 def strip(x: str) -> str:
-    x = f"regexp_replace({x}, '(?s)<!--.*?-->', ' ', 'g')"
-    for tag in hx.BOILERPLATE:
-        x = rf"regexp_replace({x}, '(?is)<{tag}\b[^>]*>.*?</{tag}>', ' ', 'g')"
-    return x
+    return cut_elements_sql(x, hx.BOILERPLATE)
 
 
 def quoted(text: str) -> str:
@@ -313,7 +311,19 @@ SELECT slug, win.url, markdown FROM win JOIN md ON page_id = stored_id""",
 SELECT site, count(*) FILTER (WHERE reason IS NULL) AS urls_attempted,
   count(*) FILTER (WHERE reason IS NULL AND success) AS pages_written, count(*) FILTER (WHERE reason IS NOT NULL) AS skipped
 FROM f GROUP BY ROLLUP (site)""",
+    "crawl_skips": f"""WITH {CANDIDATES}, {RULES},
+{judged('j', f'(SELECT *, {domain("url")} AS site FROM candidates)', 'page_id, pos, url, site')}
+SELECT site AS crawl_id, url, reason, row_number() OVER (PARTITION BY site ORDER BY page_id, pos) - 1 AS pos
+FROM j WHERE reason IS NOT NULL""",
+    "crawl_log": f"""WITH {CANDIDATES}, {RULES}, {STORE},
+{judged('j', f'(SELECT *, {domain("url")} AS site FROM candidates)', 'page_id, pos, site, url')},
+{fetched('f', 'j', 'page_id, pos, site, url, reason')}
+SELECT site AS crawl_id, row_number() OVER (PARTITION BY site ORDER BY page_id, pos) - 1 AS pos, url,
+  CASE WHEN reason IS NOT NULL THEN 'skipped' WHEN success THEN 'written' ELSE 'failed' END AS outcome,
+  CASE WHEN reason IS NOT NULL THEN reason WHEN success THEN '{crawling.OUTPUT_DIR}/' || {slug('url')} || '.md' ELSE error END AS detail
+FROM f""",
     "html_strip": f"SELECT page_id, {strip('html')} AS stripped FROM pages",
+    "html_nesting": f"SELECT page_id, {strip('whole')} AS stripped FROM (SELECT page_id, {derived.NESTED_SQL} AS whole FROM pages)",
     "block_prune": f"WITH {BLOCKS} SELECT page_id, pos, tag, text, CAST(score AS DOUBLE) AS score, keep FROM kept",
     "page_markdown": f"WITH {BLOCKS}, {MARKDOWN} SELECT page_id, markdown FROM md",
     "link_extract": f"WITH {LINKS} SELECT page_id, pos, href FROM links",

@@ -179,3 +179,14 @@ def graph_status(pages: DataFrame, store: DataFrame) -> DataFrame:
     made = placed.select(F.explode(F.array(home, folder)).alias("norm_url")).distinct()
     made = made.select("norm_url", F.lit(True).alias("success"), F.lit(None).cast("string").alias("error"))
     return store.select("norm_url", "success", "error").unionByName(made)
+
+
+#: Elements in each other, without end tags, and in comments and scripts, around a page.
+_BEFORE = "<div><nav>a<nav>b</nav>menu</nav><form>open "
+_AFTER = '</div><!-- <aside> --><script>if (a < b) "<nav>"</script>rest <footer><footer>x</footer> y</footer><p>end<aside>c'
+NESTED_SQL = f"'{_BEFORE}' || html || '{_AFTER}' || html"
+
+
+def nested_pages(pages: DataFrame) -> DataFrame:
+    """Pages with boilerplate around them that only a reader of nesting cuts right."""
+    return pages.select("page_id", F.concat(F.lit(_BEFORE), "html", F.lit(_AFTER), "html").alias("html"))

@@ -8,12 +8,13 @@ import hashlib
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from corpuscade.functions import text as tx
-from corpuscade.operators import chunking, fusion, lexical, vectors
+from corpuscade.operators import chunking, fusion, lexical, models, vectors
 from corpuscade.operators.embedding import embed_chunks
+from corpuscade.operators.ordering import numbered
 from corpuscade.operators.topk import CHUNK_ID
 from corpuscade.session import app_dir, fresh_dir, materialize, plain
 from corpuscade.plans import crawling
-from corpuscade.sources import index_store
+from corpuscade.sources import directory, index_store, pages
 from corpuscade.sources.documents import read_documents
 
 SMALL_CHUNK = 128
@@ -76,13 +77,23 @@ def retrieve(index: index_store.Index, questions: DataFrame) -> DataFrame:
 
 def crawl_answers(spark, sf_dir):
     """From stored pages to passages: crawl, clean, write, index, retrieve."""
-    written = crawling.crawled_pages(spark, sf_dir)
-    number = F.conv(F.substring(F.md5("slug"), 1, 15), 16, 10).cast("long")
-    docs = written.select(number.alias("doc_id"), F.col("markdown").alias("text"))
+    written = crawling.crawled_pages(spark, sf_dir).select("slug", F.col("markdown").alias("text"))
+    docs = numbered(written, ["slug"], out="doc_id").select("doc_id", "text")
     index = index_store.create_or_load(docs, fresh_dir(spark, "crawl-index"), "crawl")
     return plain(retrieve(index, benchmark_questions(spark, sf_dir)))
 
 
+def directory_index(spark, sf_dir):
+    """What an index holds that follows the folder of two crawls, brought up to date after each."""
+    out, base, progress = (fresh_dir(spark, f"directory-{n}") for n in ("pages", "index", "progress"))
+    for winners in crawling.crawl_halves(spark, sf_dir):
+        pages.write_markdown(winners, out)
+        directory.index_directory(spark, out, base, "crawl", progress)
+    slug = F.regexp_extract("path", "/slug=([^/]*)/", 1).alias("slug")
+    chunks = directory.indexed_files(spark, base, "crawl")
+    return plain(chunks.select(slug, "chunk_no", "n_tokens", F.sha2("text", 256).alias("text_sha")))
+
+
 def sentence_split(spark, sf_dir):
     docs = read_documents(spark, sf_dir)
     rows = docs.select("doc_id", F.posexplode(tx.sentences(F.col("text"))).alias("pos", "s"))
@@ -128,13 +139,13 @@ def index_roundtrip(spark, sf_dir):
     index_store.create_index(docs.where("lang = 'en'").withColumn("text", old), base)
     index_store.refresh_index(docs, base, kind="list")
     index_store.refresh_index(docs.limit(0), base, removed=docs.where("doc_id % 11 = 0"))
-    postings = index_store.table(spark, base, "postings")
-    df = index_store.table(spark, base, "terms").select("namespace", "term", "df")
+    postings = index_store.live(spark, base, "postings")
+    df = index_store.live(spark, base, "terms").select("namespace", "term", "df")
     seen = postings.join(df, ["namespace", "term"]).groupBy("namespace", *CHUNK_ID).agg(
         F.count("*").alias("n_distinct"), F.sum("df").alias("sum_df")
     )
-    chunks = index_store.table(spark, base, "chunks").join(seen, ["namespace", *CHUNK_ID], "left")
-    kind = index_store.table(spark, base, "registry").select("namespace", "kind")
+    chunks = index_store.live(spark, base, "chunks").join(seen, ["namespace", *CHUNK_ID], "left")
+    kind = index_store.current(spark, base).select("namespace", "kind")
     return plain(
         chunks.join(kind, "namespace").select(
             "namespace", *CHUNK_ID, "n_tokens", "n_terms", F.sha2("text", 256).alias("text_sha"), "kind",
@@ -170,11 +181,29 @@ def list_retrieve(spark, sf_dir):
     return plain(lexical.list_top_k(index, benchmark_questions(spark, sf_dir), fusion.FINAL_SIZE))
 
 
+def list_answers(spark, sf_dir):
+    """An index of kind ``list`` over the documents, and what it answers."""
+    docs = read_documents(spark, sf_dir).select("doc_id", "text")
+    index = index_store.create_or_load(docs, fresh_dir(spark, "list-index"), "listed", kind="list")
+    return plain(retrieve(index, benchmark_questions(spark, sf_dir)))
+
+
 def rerank_top3(spark, sf_dir):
     best = reranked(default_index(spark, sf_dir), benchmark_questions(spark, sf_dir))
     return plain(best.drop("passage"))
 
 
+def learned_rerank(spark, sf_dir):
+    """Passages by a scorer learned from the pools: does a passage hold the whole question?"""
+    index, questions = default_index(spark, sf_dir), benchmark_questions(spark, sf_dir)
+    pool = materialize(hybrid_pool(index, questions), "pool")
+    texts = fusion.with_texts(pool, questions, index.chunks)
+    holds = F.contains("passage", F.col("question")).cast("int").alias("y")
+    examples = texts.select(models.signals(F.col("question"), F.col("passage")).alias("x"), holds)
+    scorer = models.learned_scorer(models.learn_weights(materialize(examples, "examples")))
+    return plain(fusion.rerank(pool, questions, index.chunks, scorer=scorer).drop("passage"))
+
+
 def rag_context(spark, sf_dir):
     questions = benchmark_questions(spark, sf_dir)
     return plain(fusion.contexts(reranked(default_index(spark, sf_dir), questions), questions))
@@ -213,6 +242,20 @@ def ann_topk(spark, sf_dir):
     return plain(vectors.approximate_top_k(table, questions, fusion.POOL_SIZE, ids=("vec_id",)))
 
 
+def ivf_topk(spark, sf_dir):
+    """Neighbours of the question rows of ``embeddings`` by inverted lists."""
+    table = _unit_embeddings(spark, sf_dir)
+    return plain(vectors.list_top_k(table, _vector_questions(table), fusion.POOL_SIZE, ids=("vec_id",)))
+
+
+def ivf_recall(spark, sf_dir):
+    """For each question how many of its exact neighbours the inverted lists find."""
+    key = ["q_id", "vec_id"]
+    exact, found = (f(spark, sf_dir).select(*key) for f in (vector_neighbours, ivf_topk))
+    met = exact.join(found.withColumn("hit", F.lit(1)), key, "left")
+    return met.groupBy("q_id").agg(F.count("*").alias("wanted"), F.count("hit").alias("found"))
+
+
 def _vector_questions(table: DataFrame) -> DataFrame:
     """The stated question set of a search: rows whose id is divisible by 100."""
     return table.where("vec_id % 100 = 0").select(F.col("vec_id").alias("q_id"), "embedding")
@@ -231,8 +274,9 @@ def _unit_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        document_scan, crawl_answers, sentence_split, chunk_pack, chunk_overlap, chunk_stats, chunk_embed,
+        document_scan, crawl_answers, directory_index, sentence_split, chunk_pack, chunk_overlap, chunk_stats, chunk_embed,
         index_roundtrip, index_registry, vector_topk, vector_neighbours, bm25_topk, hybrid_rrf,
-        list_retrieve, rerank_top3, rag_context, retrieval_gate, invocation_rate, rank_shift, ann_topk,
+        list_retrieve, list_answers, rerank_top3, learned_rerank, rag_context, retrieval_gate, invocation_rate, rank_shift, ann_topk,
+        ivf_topk, ivf_recall,
     )
 }

@@ -169,6 +169,9 @@ one AS (SELECT q_id, vec_id, max(score) AS score FROM near GROUP BY ALL)
 {_vec_ranked('one')}"""
 
 
+_WRITTEN = f"""documents AS (
+  SELECT row_number() OVER (ORDER BY slug) - 1 AS doc_id, slug, markdown AS text FROM ({crawling_sql.ORACLE["page_sink"]}))"""
+
 ORACLE = {
     "document_scan": """SELECT doc_id, source || '/' || doc_id || '.md' AS path,
   CAST(length(text) AS BIGINT) AS n_chars, sha256(text) AS text_sha FROM documents""",
@@ -240,7 +243,9 @@ SELECT q_id, doc_id, chunk_no, v.rank AS rank_before, f.rank AS rank_after, v.ra
 FROM v_pool v FULL JOIN f_pool f USING (q_id, doc_id, chunk_no)""",
     "ann_topk": _ann(),
     # The pages' texts stand in for the table of documents.
-    "crawl_answers": f"""WITH RECURSIVE documents AS (
-  SELECT CAST('0x' || substr(md5(slug), 1, 15) AS BIGINT) AS doc_id, markdown AS text FROM ({crawling_sql.ORACLE["page_sink"]})),
+    "crawl_answers": f"""WITH RECURSIVE {_WRITTEN},
 {pipeline(BENCHMARK, *_WHOLE).removeprefix("WITH RECURSIVE ")} {_POOL} r_pool""",
+    "directory_index": f"""WITH RECURSIVE {_WRITTEN}, {chunk_ctes(chunking.CHUNK_SIZE)}
+SELECT slug, c.chunk_no, n_tokens, sha256(c.text) AS text_sha FROM chunks c JOIN documents d USING (doc_id)""",
 }
+ORACLE["list_answers"] = ORACLE["list_retrieve"]

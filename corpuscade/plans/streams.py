@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 from corpuscade.functions import html as hx
 from corpuscade.plans.retrieval import default_index, plain, reranked
 from corpuscade.session import fresh_dir, materialize
-from corpuscade.streaming.pages import first_sights
+from corpuscade.functions.urls import with_normalized_url
+from corpuscade.sources.pages import to_markdown
+from corpuscade.streaming.pages import first_rows, first_sights
 from corpuscade.streaming.questions import answer_stream
 from corpuscade.streaming.runner import drain_to_parquet, stream_session
 
@@ -22,6 +24,16 @@ def stream_page_dedup(spark, sf_dir):
     return spark.read.schema("norm_url string").parquet(out)
 
 
+def stream_pages(spark, sf_dir):
+    """Pages arrive as a stream; each URL's first one comes through whole, and is read as Markdown."""
+    session = stream_session(spark)
+    pages = session.readStream.schema("page_id long, url string, html string").parquet(f"{sf_dir}/pages.parquet*")
+    firsts = first_rows(with_normalized_url(pages, "url"), "norm_url", ["page_id"])
+    out = fresh_dir(spark, "first-pages")
+    drain_to_parquet(firsts, out, fresh_dir(spark, "first-pages-progress"))
+    return to_markdown(spark.read.schema("norm_url string, page_id long, url string, html string").parquet(out))
+
+
 def stream_questions(spark, sf_dir):
     """Benchmark texts arrive as a stream and get their three passages."""
     session = stream_session(spark)
@@ -38,4 +50,4 @@ def stream_questions(spark, sf_dir):
     return plain(spark.read.schema(schema).parquet(out).drop("batch"))
 
 
-QUERIES = {f.__name__: f for f in (stream_page_dedup, stream_questions)}
+QUERIES = {f.__name__: f for f in (stream_page_dedup, stream_pages, stream_questions)}

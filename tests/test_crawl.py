@@ -196,6 +196,35 @@ def test_crawl_order_is_that_of_a_queue(spark, one, two, fine, cap, shut):
         assert sorted((r["url"], r["reason"]) for r in skipped.where(here).collect()) == sorted(want_skipped)
 
 
+def test_a_level_reads_only_the_buckets_of_its_frontier(spark, tmp_path):
+    edges = spark.createDataFrame([(f"http://p/{i}", f"/{i + 1}", 0) for i in range(300)] + [("http://other/", "/x", 0)], "src string, href string, link_pos long")
+    sites = spark.createDataFrame([("p", "http://p/0")], "site string, base_url string")
+    store = frontier.store_links(edges, sites, str(tmp_path / "links"))
+    assert store.count() == 300 and store.where("src like '%other%'").isEmpty()
+    parents = spark.createDataFrame([("http://p/7", "p", 1, 2)], "url string, site string, seq int, total int").selectExpr("*", "0 as level", "0 as parent_seq", "0L as link_pos")
+    seen = spark.createDataFrame([], "site string, url string")
+    nodes = frontier._next_level(parents, store, seen, 5)
+    assert [(r["url"], r["parent_seq"], r["done"]) for r in nodes.collect()] == [("http://p/8", 1, 2)]
+    plan = nodes._jdf.queryExecution().executedPlan().toString().lower()
+    assert "dynamicpruning" in plan
+
+
+def test_rules_by_prefix_are_those_in_order(spark):
+    """Sites of many rules are looked up by prefixes: the same verdicts, the first rule first."""
+    import random
+
+    rnd = random.Random(6)
+    part = lambda: "/" + "".join(rnd.choice("ab") for _ in range(rnd.randint(0, 3)))
+    lines = [f"{rnd.choice(['Allow', 'Disallow'])}: {part()}{part()}" for _ in range(120)]
+    texts = [("big", "User-agent: *\n" + "\n".join(lines)), ("small", "User-agent: *\nDisallow: /a"), ("star", "User-agent: *\nAllow: /ab\nDisallow: *"), ("none", None)]
+    robots = rb.parse_robots(spark.createDataFrame(texts, "site string, txt string"))
+    urls = spark.createDataFrame([(s, f"http://{s}{part()}{part()}{part()}?q={i % 3}") for s in ("big", "small", "star", "none", "absent") for i in range(40)], "site string, url string")
+    plain = sorted(map(tuple, rb.with_allowed(urls, robots, many=1000).collect()))
+    for many in (0, 1, 64):
+        assert sorted(map(tuple, rb.with_allowed(urls, robots, many=many).collect())) == plain
+    assert {a for s, _, a in plain if s == "big"} == {True, False}
+
+
 def test_denied_start_page(spark):
     sites = spark.createDataFrame([("p", "http://p/")], "site string, base_url string")
     robots = rb.parse_robots(spark.createDataFrame([("p", "User-agent: *\nDisallow: /")], "site string, txt string"))

@@ -14,11 +14,15 @@ def con(sf_dir):
     return connect(sf_dir)
 
 
+#: What is learned is beyond SQL; tests hold these to brute force.
+LEARNED = {"ivf_topk", "ivf_recall", "learned_rerank"}
+
+
 def test_every_query_has_sql():
-    assert set(SQL) == set(QUERIES)
+    assert set(SQL) == set(QUERIES) - LEARNED
 
 
-@pytest.mark.parametrize("name", sorted(QUERIES))
+@pytest.mark.parametrize("name", sorted(SQL))
 def test_query(spark, sf_dir, con, name):
     assert difference(QUERIES[name](spark, sf_dir), con, SQL[name]) is None
 
