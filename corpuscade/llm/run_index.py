@@ -27,8 +27,9 @@ WINDOW, SEED = 400, 64
 PASSAGE, PASSAGE_SEED = 50, 8
 #: Occurrences of one anchor that are gathered at once.
 HOT = 1_800
-#: Bytes of contexts in one index; a group of one anchor is never divided.
-CHUNK = 512 << 10
+#: Bytes of contexts in one index, few enough to stay near the processor; a group of one anchor is
+#: never divided.
+CHUNK = 128 << 10
 END = b"\xff"  # in no UTF-8 text
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 
@@ -262,7 +263,7 @@ def passages(docs: DataFrame, texts: DataFrame, window: int = PASSAGE, hot: int
         F.col("doc_id").cast("long").alias("_id"), *text_keys(), F.encode(F.coalesce(F.col("text"), F.lit("")), "UTF-8").alias("data")
     )
     found = repeated_spans(
-        own, texts, spec, partial(find, spec=spec, keep_first=True), CHUNK >> 3,
+        own, texts, spec, partial(find, spec=spec, keep_first=True), CHUNK >> 1,
         flag=F.col("low") != F.col("high"), whole=lambda: F.col("ord") > F.col("_ord"), total=F.min("ord"),
     )
 
