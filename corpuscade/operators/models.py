@@ -37,7 +37,9 @@ def signals(question: Column, passage: Column) -> Column:
 
     q, p = tx.terms(question), tx.terms(passage)
     pairs = tx.bigrams(q)
-    runs = F.transform(pairs, lambda b: F.array_contains(tx.bigrams(p), b).cast("int"))
+    # The common bigrams are worked out once, not for each bigram.
+    common = F.array_repeat(F.array_intersect(pairs, tx.bigrams(p)), F.size(pairs))
+    runs = F.zip_with(pairs, common, lambda b, found: F.array_contains(found, b).cast("int"))
     longest = F.aggregate(
         runs, F.struct(F.lit(0).alias("now"), F.lit(0).alias("best")),
         lambda s, r: F.struct((s["now"] * r + r).alias("now"), F.greatest(s["best"], s["now"] * r + r).alias("best")),
