@@ -1,6 +1,9 @@
 """What must not grow with the input: work done again, tasks for each file, memory for each batch."""
 
-from corpuscade.sources import directory, index_store
+from pyspark.sql import functions as F
+
+from corpuscade.functions import html as hx
+from corpuscade.sources import directory, index_store, pages
 
 
 def _plan(df) -> str:
@@ -26,3 +29,16 @@ def test_a_folder_of_many_files_takes_few_tasks_and_the_callers_session(spark, t
     session = directory.many_files_session(spark)
     assert int(session.conf.get("spark.sql.sources.parallelPartitionDiscovery.parallelism")) == 4 * spark.sparkContext.defaultParallelism
     assert int(session.conf.get("spark.sql.files.openCostInBytes").rstrip("b")) < 1 << 20
+
+
+def test_a_block_of_a_page_is_worked_out_once(spark):
+    rows = [
+        (1, "<p>one <b>two</b> three &amp; <a href='x'>four</a></p><h2>Head&nbsp;it</h2><li></li>"), (2, "<p>x</p>"), (3, None), (4, ""),
+        (5, "&lt;&bogus;&#65; text <div><i>of</i> some words</div>"),
+    ]
+    df = spark.createDataFrame(rows, "stored_id long, html string")
+    made = pages.to_markdown(df)
+    assert _plan(made).count("<(?:b|strong)>") == 2  # the blocks that stay, and all if none does
+    both = hx.with_markdown(df).select("stored_id", F.coalesce(F.nullif(F.col("fit_md"), F.lit("")), F.col("raw_md")).alias("markdown"))
+    want = {r["stored_id"]: r["markdown"] for r in both.collect()}
+    assert {r["stored_id"]: r["markdown"] for r in made.collect()} == want and want[3] is None and "**two**" in want[1]
