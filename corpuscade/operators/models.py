@@ -30,23 +30,24 @@ def per_task(load: Callable[[], object], apply: Callable[[object, pa.Array], pa.
 def signals(question: Column, passage: Column) -> Column:
     """``array<double>`` of SIGNALS, by built-in functions."""
 
-    def share(q: Column, p: Column) -> Column:
-        q = F.array_distinct(q)
-        found = F.size(F.array_intersect(q, p)).cast("double")
-        return F.coalesce(found / F.nullif(F.size(q), F.lit(0)), F.lit(0.0))
-
-    q, p = tx.terms(question), tx.terms(passage)
-    pairs = tx.bigrams(q)
-    # The common bigrams are worked out once, not for each bigram.
-    common = F.array_repeat(F.array_intersect(pairs, tx.bigrams(p)), F.size(pairs))
-    runs = F.zip_with(pairs, common, lambda b, found: F.array_contains(found, b).cast("int"))
-    longest = F.aggregate(
-        runs, F.struct(F.lit(0).alias("now"), F.lit(0).alias("best")),
-        lambda s, r: F.struct((s["now"] * r + r).alias("now"), F.greatest(s["best"], s["now"] * r + r).alias("best")),
-        lambda s: s["best"].cast("double"),
-    )
-    run_share = F.coalesce(longest / F.nullif(F.size(pairs), F.lit(0)), F.lit(0.0))
-    return F.array(share(q, p), share(pairs, tx.bigrams(p)), run_share, F.log1p(F.size(p).cast("double")))
+    def runs(pairs: Column, common: Column) -> Column:
+        return F.aggregate(
+            F.transform(pairs, lambda b: F.array_contains(common, b).cast("int")),
+            F.struct(F.lit(0).alias("now"), F.lit(0).alias("best")),
+            lambda s, r: F.struct((s["now"] * r + r).alias("now"), F.greatest(s["best"], s["now"] * r + r).alias("best")),
+            lambda s: s["best"].cast("double"),
+        )
+
+    def seen(q: Column, pairs: Column, p: Column, held: Column) -> Column:
+        # The common bigrams are worked out once, not for each bigram.
+        longest = tx.once(F.array_intersect(pairs, held), lambda common: runs(pairs, common))
+        run_share = F.coalesce(longest / F.nullif(F.size(pairs), F.lit(0)), F.lit(0.0))
+        return F.array(tx.share(q, p), tx.share(pairs, held), run_share, F.log1p(F.size(p).cast("double")))
+
+    def with_pairs(q: Column, p: Column) -> Column:
+        return tx.once(tx.bigrams(q), lambda pairs: tx.once(tx.bigrams(p), lambda held: seen(q, pairs, p, held)))
+
+    return tx.once(tx.terms(question), lambda q: tx.once(tx.terms(passage), lambda p: with_pairs(q, p)))
 
 
 def learn_weights(examples: DataFrame, rounds: int = 300, rate: float = 0.5, most: int = 200_000) -> np.ndarray:

@@ -1,8 +1,13 @@
 """What must not grow with the input: work done again, tasks for each file, memory for each batch."""
 
+import tracemalloc
+
+import numpy as np
 from pyspark.sql import functions as F
 
-from corpuscade.functions import html as hx
+from corpuscade.functions import html as hx, text as tx
+from corpuscade.operators import fusion, lexical, models, vectors
+from corpuscade.operators.topk import Leaders
 from corpuscade.sources import directory, index_store, pages
 
 
@@ -42,3 +47,48 @@ def test_a_block_of_a_page_is_worked_out_once(spark):
     both = hx.with_markdown(df).select("stored_id", F.coalesce(F.nullif(F.col("fit_md"), F.lit("")), F.col("raw_md")).alias("markdown"))
     want = {r["stored_id"]: r["markdown"] for r in both.collect()}
     assert {r["stored_id"]: r["markdown"] for r in made.collect()} == want and want[3] is None and "**two**" in want[1]
+
+
+def test_terms_of_a_pair_are_found_once(spark):
+    df = spark.createDataFrame([("a b c a", "c a b x a b"), ("", "a"), (None, "a"), ("a b", None), ("q r", "s")], "q string, p string")
+    scored = df.select("q", "p", fusion.overlap_score(F.col("q"), F.col("p")).alias("s"), models.signals(F.col("q"), F.col("p")).alias("x"))
+    assert _plan(scored).count("[\\p{L}\\p{N}]+") == 4
+    assert _plan(df.select(tx.features(F.col("p")).alias("f"))).count("[\\p{L}\\p{N}]+") == 1
+    got = {(r["q"], r["p"]): (r["s"], r["x"]) for r in scored.collect()}
+    score, x = got["a b c a", "c a b x a b"]
+    assert score == 1.0 + 2 / 3 and x[:3] == [1.0, 2 / 3, 1 / 3]
+    assert got["", "a"][0] == 0.0 and got["q r", "s"][0] == 0.0
+
+
+def test_many_questions_of_common_words_scan_the_chunks(spark, tmp_path, monkeypatch):
+    docs = spark.createDataFrame([(i, f"the house of number {i} and the tree {i % 7}.") for i in range(60)], "doc_id long, text string")
+    index = index_store.create_or_load(docs, str(tmp_path / "index"), "n")
+    asked = [(i, f"the tree and the number {i}") for i in range(20)] + [(99, None), (98, "zzz")]
+    questions = spark.createDataFrame(asked, "q_id long, text string")
+    want = sorted(map(tuple, lexical.bm25_top_k(index, questions, 3, question_block=0).collect()))
+
+    def never(*_):
+        raise AssertionError("a posting for each question and chunk")
+
+    monkeypatch.setattr(lexical, "_pruned_top_k", never)
+    got = sorted(map(tuple, lexical.bm25_top_k(index, questions, 3, question_block=4).collect()))
+    assert got == want and len({r[0] for r in got}) == 20
+
+
+def test_leaders_agree_with_a_sort_and_stay_small():
+    rnd, k, n = np.random.default_rng(5), 4, 30
+    scores = rnd.integers(0, 9, (500, n)) / 8.0
+    matched = rnd.random((500, n)) < 0.7
+    ids = rnd.permutation(500).astype(np.int64)
+    leaders = Leaders(k, ("vec_id",))
+    for at in range(0, 500, 37):
+        leaders.add([ids[at : at + 37]], scores[at : at + 37], matched[at : at + 37])
+    got = sorted(zip(*(c.tolist() for c in leaders.rows)))
+    want = [(i, q, s) for q in range(n) for s, i in sorted((-scores[r, q], ids[r]) for r in range(500) if matched[r, q])[:k] for s in [-s]]
+    assert got == sorted(want)
+    points, asked = rnd.random((12_000, 8)), rnd.random((2_000, 8))
+    tracemalloc.start()
+    vectors._score(Leaders(10, ("vec_id",)), [np.arange(12_000)], points, asked)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 250 << 20
