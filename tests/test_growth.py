@@ -3,10 +3,11 @@
 import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from corpuscade.functions import html as hx, text as tx
-from corpuscade.operators import fusion, lexical, models, vectors
+from corpuscade.operators import embedding, fusion, lexical, models, vectors
 from corpuscade.operators.topk import Leaders
 from corpuscade.sources import directory, index_store, pages
 
@@ -92,3 +93,18 @@ def test_leaders_agree_with_a_sort_and_stay_small():
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert peak < 250 << 20
+
+
+def test_a_batch_of_texts_is_worked_on_in_slices():
+    seen = []
+
+    def work(part: pa.Array) -> pa.Array:
+        seen.append(len(part))
+        return pc_sizes(part)
+
+    def pc_sizes(part: pa.Array) -> pa.Array:
+        return pa.array([None if v is None else len(v) for v in part.to_pylist()], pa.int32())
+
+    lists = pa.array([None if i % 50 == 0 else list(range(i % 5)) for i in range(1_500)], pa.list_(pa.int32()))
+    assert embedding.in_slices(lists, work).equals(pc_sizes(lists)) and max(seen) <= embedding.SLICE
+    assert len(embedding.in_slices(lists.slice(0, 0), work)) == 0
