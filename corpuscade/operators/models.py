@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from corpuscade.functions import text as tx
+from corpuscade.session import materialize
 
 #: What the learned scorer sees of a question and a passage.
 SIGNALS = ("term share", "bigram share", "longest run share", "length")
@@ -49,35 +50,70 @@ def signals(question: Column, passage: Column) -> Column:
     return F.array(share(q, p), share(pairs, tx.bigrams(p)), run_share, F.log1p(F.size(p).cast("double")))
 
 
-def learn_weights(examples: DataFrame, rounds: int = 300, rate: float = 0.5, most: int = 200_000) -> np.ndarray:
-    """Logistic weights, the bias last, from ``examples(x array<double>, y int)``: at most ``most``
-    of them, chosen by a hash, in one task."""
+def learn_weights(examples: DataFrame, rounds: int = 300, rate: float = 0.5, together: int = 200_000) -> np.ndarray:
+    """Logistic weights, the bias last, from all ``examples(x array<double>, y int)`` that have a y.
+
+    Equal examples are one row that counts as often. Up to ``together`` such rows are learned from in
+    one task; more stay where they lie, and each round adds up what every task finds in its own.
+    """
+    rows = examples.where("y is not null").groupBy("x", "y").agg(F.count("*").alias("n"))
+    rows = materialize(rows, "different-examples")
+    size = rows.agg(F.count("*").alias("rows"), F.sum("n").alias("n"), F.sum(F.col("n") * F.col("y")).alias("ones")).first()
+    if not size["rows"]:
+        return np.r_[np.ones(len(SIGNALS) - 1), 0.0, 0.0]
+    if size["rows"] > together:
+        return _descend(lambda w: _slope_of_all(rows, w, size["ones"] / size["n"]) / size["n"], rounds, rate)
 
     def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        xs, ys = [], []
-        for batch in batches:
-            xs.append(batch.column("x").flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1))
-            ys.append(batch.column("y").to_numpy())
-        if ys and sum(map(len, ys)):
-            yield pa.RecordBatch.from_pydict({"w": pa.array([logistic(np.concatenate(xs), np.concatenate(ys), rounds, rate)], pa.list_(pa.float64()))})
+        parts = [_arrays(batch) for batch in batches if batch.num_rows]
+        w = logistic(*(np.concatenate(p) for p in list(zip(*parts))[:2]), rounds, rate, np.concatenate([n for _, _, n in parts]))
+        yield pa.RecordBatch.from_pydict({"w": pa.array([w], pa.list_(pa.float64()))})
+
+    one = rows.repartition(1).sortWithinPartitions("x", "y")
+    return np.array(one.mapInArrow(train, "w array<double>").first()["w"])
 
-    few = examples.select("x", "y", F.xxhash64(F.col("x").cast("string"), "y").alias("_h")).orderBy("_h").limit(most)
-    found = few.repartition(1).sortWithinPartitions("_h").select("x", "y").mapInArrow(train, "w array<double>").collect()
-    return np.array(found[0]["w"]) if found else np.r_[np.ones(len(SIGNALS) - 1), 0.0, 0.0]
 
+def _arrays(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    x = batch.column("x").flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
+    return x, batch.column("y").to_numpy(), batch.column("n").to_numpy()
 
-def logistic(x: np.ndarray, y: np.ndarray, rounds: int, rate: float) -> np.ndarray:
-    """Gradient descent with both classes weighing the same."""
+
+def _slope(x: np.ndarray, y: np.ndarray, n: np.ndarray, w: np.ndarray | None, share: float) -> np.ndarray:
+    """Sum of the examples' gradients at ``w`` (None: zero), both classes weighing the same."""
+    share = np.clip(share, 1e-6, 1 - 1e-6)
+    weight = n * np.where(y == 1, 0.5 / share, 0.5 / (1 - share))
     x = np.c_[x, np.ones(len(x))]
-    share = np.clip(y.mean(), 1e-6, 1 - 1e-6)
-    weight = np.where(y == 1, 0.5 / share, 0.5 / (1 - share))
-    w = np.zeros(x.shape[1])
+    p = 0.5 if w is None else 1 / (1 + np.exp(-np.clip(x @ w, -40, 40)))
+    return x.T @ (weight * (p - y))
+
+
+def _slope_of_all(rows: DataFrame, w: np.ndarray | None, share: float) -> np.ndarray:
+    """``_slope`` over ``rows(x, y, n)``: a vector from each task, added up in the tasks' order."""
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = [_slope(*_arrays(batch), w, share) for batch in batches if batch.num_rows]
+        if total:
+            yield pa.RecordBatch.from_pydict({"slope": pa.array([np.sum(total, axis=0)], pa.list_(pa.float64()))})
+
+    return np.sum([r["slope"] for r in rows.mapInArrow(add, "slope array<double>").collect()], axis=0)
+
+
+def _descend(slope: Callable[[np.ndarray | None], np.ndarray], rounds: int, rate: float) -> np.ndarray:
+    """Gradient descent from zero."""
+    w = None
     for _ in range(rounds):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -40, 40)))
-        w -= rate * (x.T @ (weight * (p - y)) / len(y) + 1e-3 * w)
+        step = slope(w)
+        w = np.zeros(len(step)) if w is None else w
+        w = w - rate * (step + 1e-3 * w)
     return w
 
 
+def logistic(x: np.ndarray, y: np.ndarray, rounds: int, rate: float, n: np.ndarray | None = None) -> np.ndarray:
+    """Weights by gradient descent with both classes weighing the same; row i counts ``n[i]`` times."""
+    n = np.ones(len(y)) if n is None else n
+    return _descend(lambda w: _slope(x, y, n, w, np.average(y, weights=n)) / n.sum(), rounds, rate)
+
+
 def learned_scorer(weights: np.ndarray, loads=None):
     """A scorer for ``fusion.rerank`` from logistic weights. ``loads``, an accumulator, counts how
     often the model is loaded."""

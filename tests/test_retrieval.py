@@ -477,3 +477,15 @@ def test_passages_are_found_verbatim(spark, sf_dir):
     for r in best.collect():
         top.setdefault(r["q_id"], set()).add(r["doc_id"])
     assert all(top[q] & ids for q, ids in holders.items())
+
+
+def test_weights_are_learned_from_every_example(spark):
+    kinds = [([0.1, 0.0, 0.0, 1.0], 0, 150_000), ([0.9, 0.5, 0.5, 1.0], 1, 90_000), ([0.9, 0.2, 0.1, 2.0], 0, 30_000), ([0.2, 0.1, 0.4, 0.5], None, 5)]
+    few = spark.createDataFrame(kinds, "x array<double>, y int, n int")
+    examples = few.select("x", "y", F.explode(F.sequence(F.lit(1), "n"))).select("x", "y")
+    x, y, n = (np.array(c) for c in zip(*kinds[:3]))
+    want = models.logistic(np.repeat(x, n, axis=0), np.repeat(y, n), 300, 0.5)
+    assert np.allclose(models.learn_weights(examples.where("y is not null")), want)
+    assert np.allclose(models.learn_weights(examples), want)  # what has no y teaches nothing
+    spread = models.learn_weights(examples, rounds=3, together=0)  # summed up where they lie
+    assert np.allclose(spread, models.logistic(np.repeat(x, n, axis=0), np.repeat(y, n), 3, 0.5))
