@@ -106,3 +106,23 @@ def test_a_batch_of_texts_is_worked_on_in_slices():
     lists = pa.array([None if i % 50 == 0 else list(range(i % 5)) for i in range(1_500)], pa.list_(pa.int32()))
     assert embedding.in_slices(lists, work).equals(pc_sizes(lists)) and max(seen) <= embedding.SLICE
     assert len(embedding.in_slices(lists.slice(0, 0), work)) == 0
+
+
+def test_local_pages_are_written_without_a_process_for_each(spark, tmp_path):
+    rows = [(f"s{i}", f"text {i}") for i in range(30)] + [(None, "none"), ("", "blank"), ('a b:c/d%e"f=g{h}\\i\n', "odd"), ("empty", None), ("s3", "again")]
+    df = spark.createDataFrame(rows, "slug string, markdown string").repartition(4)
+    out, plain = tmp_path / "out", tmp_path / "plain"
+
+    def held(folder):
+        files = [f for f in folder.rglob("*.txt") if not f.name.startswith((".", "_"))]
+        return sorted((f.parent.name, line) for f in files for line in f.read_text().splitlines()), {f.parent.parent for f in files}
+
+    pages.write_markdown(df, str(out))
+    df.select("slug", F.col("markdown").alias("value")).write.partitionBy("slug").text(str(plain))
+    assert held(out)[0] == held(plain)[0] and held(out)[1] == {out}
+    assert not list(out.rglob("*.crc"))  # Hadoop sets the mode of each with a process of its own
+    before = {f for f in out.rglob("*.txt") if f.parent.name != "slug=s1"}
+    pages.write_markdown(spark.createDataFrame([("s1", "new"), ("t", "first")], df.schema), f"file://{out}")
+    texts = {r["slug"]: r["value"] for r in spark.read.text(str(out)).where("slug in ('s1', 's2', 't')").collect()}
+    assert texts == {"s1": "new", "s2": "text 2", "t": "first"}
+    assert before < set(out.rglob("*.txt")) and len([*out.iterdir()]) == len({f.parent for f in out.rglob("*.txt")})
