@@ -126,3 +126,41 @@ def test_local_pages_are_written_without_a_process_for_each(spark, tmp_path):
     texts = {r["slug"]: r["value"] for r in spark.read.text(str(out)).where("slug in ('s1', 's2', 't')").collect()}
     assert texts == {"s1": "new", "s2": "text 2", "t": "first"}
     assert before < set(out.rglob("*.txt")) and len([*out.iterdir()]) == len({f.parent for f in out.rglob("*.txt")})
+
+
+def test_a_scan_scores_exactly_only_what_may_win():
+    rnd, k, features, questions = np.random.default_rng(9), 3, 60, 400
+    common = 1 / np.arange(1, features + 1)
+    holds, asks = rnd.random((900, features)) < common, rnd.random((questions, features)) < common
+    holds[:, 0], asks[5] = holds[:, 0] | (rnd.random(900) < 0.9), False
+    weights = np.where(holds, rnd.integers(1, 9, holds.shape) / 8, 0.0)
+    question, number = np.nonzero(asks)
+    q_weight = rnd.integers(1, 9, len(number)) / 4
+    question, number, q_weight = (np.r_[c, c[:50]] for c in (question, number, q_weight))  # some ask twice
+    ids = rnd.permutation(900).astype(np.int64)
+    whole = np.zeros((900, questions))
+    for q, f, w in zip(question, number, q_weight):
+        whole[:, q] += weights[:, f] * w
+    want = sorted((q, -s, i) for q in range(questions) for s, i in sorted((-whole[r, q], ids[r]) for r in range(900) if whole[r, q] > 0)[:k] for s in [-s])
+    scan = lexical._Scan(lexical._Asked(number, question, q_weight, features, questions), k)
+    exactly, exact = [], scan._exact
+    scan._exact = lambda row, *rest: exactly.append(len(row)) or exact(row, *rest)
+    for at in range(0, 900, 300):
+        row, f = np.nonzero(holds[at : at + 300])
+        scan.add([ids[at : at + 300], np.zeros(300, np.int32)], row, f, weights[at : at + 300][row, f])
+    own, _, q, score = scan.leaders.rows
+    assert sorted(zip(q.tolist(), (-score).tolist(), own.tolist())) == want and 5 not in q
+    assert 0 < (scan.slot >= 0).sum() < features  # both ways of adding up
+    assert sum(exactly) < 0.2 * np.count_nonzero(whole)
+
+
+def test_leaders_sort_what_waits_together(monkeypatch):
+    rnd, sorts, sort = np.random.default_rng(3), [], np.lexsort
+    monkeypatch.setattr(np, "lexsort", lambda keys: sorts.append(1) or sort(keys))
+    leaders = Leaders(5, ("vec_id",))
+    points = rnd.random((20_000, 50))
+    for at in range(0, 20_000, 100):
+        leaders.add([np.arange(at, at + 100)], points[at : at + 100])
+    got = {(int(q), float(s)) for q, s in zip(*leaders.rows[1:])}
+    assert got == {(q, s) for q in range(50) for s in np.sort(np.floor(points[:, q] * 1e6 + 0.5) / 1e6)[-5:].tolist()}
+    assert len(sorts) < 30  # of 200 blocks
