@@ -164,3 +164,35 @@ def test_leaders_sort_what_waits_together(monkeypatch):
     got = {(int(q), float(s)) for q, s in zip(*leaders.rows[1:])}
     assert got == {(q, s) for q in range(50) for s in np.sort(np.floor(points[:, q] * 1e6 + 0.5) / 1e6)[-5:].tolist()}
     assert len(sorts) < 30  # of 200 blocks
+
+
+def test_a_bucket_of_terms_is_one_file(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(index_store, "BUCKET_ROWS", 200)
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        docs = [(f"n{i % 2}", i, " ".join(f"w{(i * j) % 90}" for j in range(1, 12))) for i in range(200)]
+        index_store.create_index(spark.createDataFrame(docs, "namespace string, doc_id long, text string").repartition(6), str(tmp_path))
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    folders = list((tmp_path / "terms").glob("generation=*/namespace=*/bucket=*"))
+    assert len(folders) >= 16 and {len(list(f.glob("*.parquet"))) for f in folders} == {1}
+
+
+def test_postings_gathered_by_tasks_are_those_of_the_chunks(spark, monkeypatch):
+    monkeypatch.setattr(index_store, "BLOCK", 4)
+    monkeypatch.setattr(index_store, "GATHERED", 40)
+    rnd = np.random.default_rng(4)
+    rows = [(None if i % 3 == 0 else "n", None if i == 7 else int(i // 2), i % 2, " ".join(f"w{x}" for x in rnd.integers(0, 12, i % 9))) for i in range(120)]
+    rows += rows[:5]
+    chunks = spark.createDataFrame([(n, d, c, len(t.split()), [t.split().count(w) for w in dict.fromkeys(t.split())], t) for n, d, c, t in rows],
+                                   "namespace string, doc_id long, chunk_no int, n_terms int, tfs array<int>, text string").repartition(5)
+    gathered = index_store._gathered(chunks)
+    assert 0 < gathered.count() < sum(len(set(t.split())) for *_, t in rows)
+    blocks = index_store._blocks(gathered, 3).collect()
+    got = [(b["namespace"], b["term"], *p) for b in blocks for p in zip(b["docs"], b["chunk_nos"], b["tfs"], b["lengths"])]
+    want = [(n, w, d, c, t.split().count(w), len(t.split())) for n, d, c, t in rows for w in set(t.split())]
+    assert sorted(map(str, got)) == sorted(map(str, want)) and max(len(b["docs"]) for b in blocks) == 4
+    for b in blocks:
+        places = [(-1 if d is None else d, c) for d, c in zip(b["docs"], b["chunk_nos"])]
+        assert places == sorted(places) and (b["max_tf"], b["min_terms"]) == (max(b["tfs"]), min(b["lengths"]))
+        assert (b["first_doc"], b["last_doc"]) == (b["docs"][0], b["docs"][-1])
